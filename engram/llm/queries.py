@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import decontam, packing, pii, quality_rules
+from engram.llm import decontam, packing, pii, quality_rules, rlz
 from engram.llm.minhash import near_duplicates
 
 
@@ -18,6 +19,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = rlz.parse(spark, table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op4_rlz": op4_rlz,
     "op5_decontam": op5_decontam,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
