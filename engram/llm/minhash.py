@@ -25,6 +25,7 @@ from engram.llm.workspace import Workspace, attach_min, components
 
 BANDS, ROWS, BITS = 40, 6, 4
 BLOCK = 128
+SKETCH = 1024
 _MUL = stream(101, BANDS * ROWS) | U(1)
 _ADD = stream(103, BANDS * ROWS)
 _SEEDS = stream(107, BANDS)
@@ -127,42 +128,60 @@ def _estimated(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(ws: Workspace, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Those of the written pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = ws.table(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size), f"{name}-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets reach the similarity."""
     x, y = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    links = ws.table(both.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b"), f"{name}-links")
-    ws.drop(f"{name}-sets")
-    return links
+    return both.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
-def _crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that the estimate admits.
+def _sketched(a: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches of a document of n shingles and of others allow the similarity; exact where neither is cut off."""
+    far = np.int64(1) << 62
+    end = np.minimum(a[-1] if n > SKETCH else far, np.where(sizes > SKETCH, [x[-1] for x in others], far))
+    flat, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    at = np.searchsorted(a, flat)
+    inside = flat <= end[owner]
+    equal = inside & (a[np.minimum(at, len(a) - 1)] == flat)
+    shared = np.bincount(owner[equal], minlength=len(others))
+    union = np.bincount(owner[inside], minlength=len(others)) + np.searchsorted(a, end, "right") - shared
+    slack = np.where(end < far, 500 * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(union, 1)), 0)
+    return 100 * shared >= (percent - slack) * union
 
-    rows: key, doc_id, component, n_shingles, sig, group_rows, low (the bucket's main component).  Rows outside the main
-    component meet all others in blocks of at most about BLOCK rows.
+
+def _crossing(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of one bucket and different components that the estimate admits; best: for each row only the best of a block.
+
+    rows: key, doc_id, component, n_shingles, sig, least, group_rows, low (the bucket's first component).  Rows outside that
+    component meet all others in blocks of at most about BLOCK rows.  ``least`` holds the SKETCH smallest shingles (32 bits of each): all of them
+    for most documents, so that hardly any pair is emitted that the confirmation then turns down.
     """
     least = cutoff(percent / 100)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_rows") / BLOCK)).cast("int"))
-    packed = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sig"))
+    packed = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sig", "least"))
     few = rows.filter("component <> low").groupBy("key", "block").agg(packed.alias("few")).drop("block")
     many = rows.groupBy("key", "block").agg(packed.alias("many")).drop("block")
 
     def columns(x):
-        return (np.asarray(x.field(i)) for i in range(3)), np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(x), -1)
+        return (np.asarray(x.field(i)) for i in range(3)), np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(x), -1), [np.asarray(v) for v in (x.field(4)[i].values for i in range(len(x)))]
 
     def run(batches):
         for t in batches:
             found = set()
             for i in range(t.num_rows):
-                (d, c, n), s = columns(t.column(0)[i].values)
-                (e, k, m), r = columns(t.column(1)[i].values)
+                (d, c, n), s, f = columns(t.column(0)[i].values)
+                (e, k, m), r, g = columns(t.column(1)[i].values)
                 fit = (c[:, None] != k[None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
                 p, q = np.nonzero(fit)
                 if len(p):
-                    ok = similarity(s[p], r[q]) >= least
+                    score = similarity(s[p], r[q])
+                    ok = score >= least
+                    for a in np.unique(p[ok]).tolist():
+                        own = np.flatnonzero(ok & (p == a))
+                        ok[own] = _sketched(f[a], int(n[a]), [g[j] for j in q[own]], m[q[own]], percent)
+                    if best:
+                        order = np.lexsort((-score, p))
+                        ok[order[np.flatnonzero(p[order][1:] == p[order][:-1]) + 1]] = False
                     x, y = d[p[ok]], e[q[ok]]
                     found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -190,14 +209,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
     pairs = buckets.select("doc_id", F.explode(F.array("p", "q")).alias("x")).filter("doc_id <> x").select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
     slim = cards.select("doc_id", "n_shingles", "sig")
     tried = ws.table(_estimated(pairs, slim, percent), "pairs")
-    links = _confirmed(ws, docs, tried, shingle_words, percent, "first")
-    found = components(ws, links, "first-components")
-
-    labelled = buckets.select("key", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = attach_min(labelled, "key", "doc_id", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
-    rest = ws.table(_crossing(mixed.join(slim, "doc_id"), percent).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _confirmed(ws, docs, rest, shingle_words, percent, "second")
-    final = components(ws, links.unionByName(more), "second-components")
-
-    joined = classed.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    # The hint keeps one plan at every size: without it, small inputs are broadcast and large ones are not.
+    met = docs.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = ws.table(_sets(met.select("doc_id", "text"), shingle_words), "sets")
+    links = ws.table(_confirmed(tried, sets, percent), "links")
+    found = components(ws, links, "components-0")
+    # Once with the best partners only, which joins most of what belongs together; then with all that are still apart.
+    for turn, best in ((1, True), (2, False)):
+        labelled = buckets.select("key", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = attach_min(labelled, "key", "doc_id", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
+        mixed = ws.table(mixed, f"mixed-{turn}")
+        sketch = sets.select("doc_id", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 32)).alias("least"))
+        rows = mixed.join(slim, "doc_id").join(sketch, "doc_id")
+        rest = ws.table(_crossing(rows, percent, best).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        more = ws.table(_confirmed(rest, sets, percent), f"links-{turn}")
+        tried, links = tried.unionByName(rest), links.unionByName(more)
+        found = components(ws, links, f"components-{turn}")
+
+    joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
