@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, packing, pii, quality_rules, rlz, tokencount, warc
+from engram.llm import decontam, packing, pii, quality_rules, rlz, tokencount, toxicity, warc
 from engram.llm.minhash import near_duplicates
 from engram.llm.workspace import Workspace
 
@@ -48,6 +48,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
