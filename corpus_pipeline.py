@@ -1,24 +1,56 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, private data, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, private data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns of
+docs.  Empty tables pass through; null ids are kept unless a text rule rejects their rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from engram.llm import decontam, packing, pii, quality_rules
 from engram.llm.minhash import near_duplicates
+from engram.llm.workspace import Workspace
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base rules and the learned decision list reject."""
+    return quality_rules.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
-    kept = near_duplicates(spark, docs, shingle_words=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keeps the smallest id of each group of documents linked at five-word shingles and a similarity of 0.8."""
+    dropped = near_duplicates(spark, docs, shingle_words=5, percent=80).filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose tiles cover four fifths of a benchmark item."""
+    return decontam.keep_clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind, and counts characters anew."""
+    return pii.redact(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts all documents into sequences of 2048 tokens, neighbours on the curve together."""
+    return packing.pack(spark, docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("decontamination", decontaminate), ("private data", redact), ("packing", pack)]
+#: SQL cannot express learned rules, tilings or tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents, each but the last written and read again as the next one's input."""
+    ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = ws.table(docs, f"stage-{k}")
     return docs

@@ -164,4 +164,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     rules = fit(spark, statistics(known), labels)
     judged = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
-    return judged.filter(~base_failed() & decision(rules).isNull()).select("row.*")
+    # The filter stays above a generator; pushed below it, each use of a statistic would compute its whole tree again.
+    once = judged.select("row", F.explode(F.array(F.struct("s", "f"))).alias("x")).select("row", "x.s", "x.f")
+    return once.filter(~base_failed() & decision(rules).isNull()).select("row.*")

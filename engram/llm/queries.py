@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontam, packing, pii, quality_rules, rlz, tokencount, toxicity, warc
+from engram.llm import decontam, langid, packing, pii, quality_rules, rlz, tokencount, toxicity, warc
 from engram.llm.minhash import near_duplicates
 from engram.llm.workspace import Workspace
 
@@ -25,6 +25,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(spark, pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", "html")
+    return langid.fuse(spark, pages, table(spark, sf_dir, "documents")).withColumnRenamed("id", "page_id")
+
+
 def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = rlz.parse(spark, table(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
     "op4_rlz": op4_rlz,
     "op5_decontam": op5_decontam,
     "op6_token_counts": op6_token_counts,

@@ -48,13 +48,21 @@ class Workspace:
 def attach_min(df: DataFrame, key: str, value: str, mins: dict[str, Column], salts: int = 32) -> DataFrame:
     """Adds to each row the minimum of each of ``mins`` over the rows of its key, and ``group_rows``.
 
-    Keys that no two rows share get nulls and ``group_rows`` null.  A key may hold any share of the rows: rows are dealt
-    by key and a salt from ``value``, minima are taken by salt first, and the result goes back by salt.
+    Keys that no two rows share get nulls and ``group_rows`` null.
+    """
+    return attach(df, key, value, mins, F.min, salts, 2)
+
+
+def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, salts: int = 32, least: int = 1) -> DataFrame:
+    """Adds to each row ``how`` (F.min, F.sum) of each expression over the rows of its key, and ``group_rows``.
+
+    A key may hold any share of the rows: rows are dealt by key and a salt from ``value``, taken together by salt first, and
+    the result goes back by salt.  Keys of fewer than ``least`` rows, and null keys, get nulls.
     """
     df = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
-    part = df.filter(F.col(key).isNotNull()).groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(k) for k, c in mins.items()])
-    whole = part.groupBy(key).agg(F.sum("_n").alias("group_rows"), F.collect_list("_salt").alias("_salts"), *[F.min(k).alias(k) for k in mins])
-    whole = whole.filter("group_rows > 1").withColumn("_salt", F.explode("_salts")).drop("_salts")
+    part = df.filter(F.col(key).isNotNull()).groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"), *[how(c).alias(k) for k, c in mins.items()])
+    whole = part.groupBy(key).agg(F.sum("_n").alias("group_rows"), F.collect_list("_salt").alias("_salts"), *[how(k).alias(k) for k in mins])
+    whole = whole.filter(F.col("group_rows") >= least).withColumn("_salt", F.explode("_salts")).drop("_salts")
     return df.join(whole, [key, "_salt"], "left").drop("_salt")
 
 
