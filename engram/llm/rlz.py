@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.textcore import Words, cut, mix, pieces
+from engram.llm.textcore import CHUNK_BYTES, Words, cut, mix, pieces
 from engram.llm.workspace import Workspace, attach_min
 
 WINDOW, GRAM = 50, 8
@@ -92,7 +92,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def _texts(column: pa.Array, size: int = 1 << 20):
+def _texts(column: pa.Array, size: int = CHUNK_BYTES):
     """Row ranges of about ``size`` bytes of unpacked text: low, Words."""
     unpack = zstandard.ZstdDecompressor().decompress
     low, held, total = 0, [], 0
