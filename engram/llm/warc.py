@@ -11,6 +11,7 @@ never the one that stays while another has an id.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -25,14 +26,17 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _HEADER = "id long, uri string, record_type string, payload_digest string, refers_to long, block_bytes long, payload_bytes long, intact boolean"
 
 
-def headers(records: DataFrame) -> DataFrame:
-    """records (id, uri, payload) with payload_bytes, payload_digest, record_type and refers_to."""
+def headers(records: DataFrame, parts: int | None = None) -> DataFrame:
+    """records (id, uri, payload) with payload_bytes, payload_digest, record_type and refers_to.
+
+    Only headers (id, digest) are shuffled to find what repeats; payloads move once, to ``parts`` partitions by (id, digest).
+    """
     df = records.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    slim = df.withColumn("uid", F.monotonically_increasing_id())
-    key = F.when((F.col("payload_bytes") >= LEAST) & F.col("id").isNotNull(), F.col("payload_digest"))
-    met = attach_min(slim.withColumn("_key", key), "_key", "id", {"first": F.col("id")}).drop("_key", "uid")
-    revisit = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
-    return met.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first", "group_rows")
+    heads = df.filter((F.col("payload_bytes") >= LEAST) & F.col("id").isNotNull()).select("id", "payload_digest")
+    revisits = attach_min(heads, "payload_digest", "id", {"refers_to": F.col("id")}).filter("refers_to < id").select("id", "payload_digest", "refers_to").distinct()
+    dealt = df.repartition(parts, "id", "payload_digest") if parts else df
+    met = dealt.join(revisits.hint("merge"), ["id", "payload_digest"], "left")
+    return met.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def record(date: str) -> Column:
@@ -51,12 +55,11 @@ def record(date: str) -> Column:
     )
 
 
-def write(headed: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes the records of headers() as archives of about PART_BYTES."""
-    row_bytes = F.col("payload_bytes") + 600
-    total = headed.agg(F.sum(F.when(F.col("record_type") == "revisit", 600).otherwise(row_bytes))).first()[0] or 0
+def write(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes records (id, uri, payload), deduplicated, as gzip archives of about PART_BYTES before compression."""
+    total = records.agg(F.sum(F.octet_length("payload") + 600)).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
-    headed.repartition(parts, "uri", "id").select(record(date).alias("value")).write.option("lineSep", END).text(path)
+    headers(records, parts).select(record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def records_in(data: bytes):
@@ -82,7 +85,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 out = []
-                for f, block in records_in(data.as_buffer().to_pybytes()):
+                raw = data.as_buffer().to_pybytes()
+                for f, block in records_in(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     body = bytes(block).partition(b"\r\n\r\n")[2]
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     response = kind == "response"
@@ -111,6 +115,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
 def deduplicated(spark: SparkSession, records: DataFrame, path: str | None = None) -> DataFrame:
     """Writes records (id, uri, payload) as deduplicated archives, and returns their resolved headers as read back."""
-    path = path or f"{Workspace(spark, 'warc').path}/archives"
-    write(headers(records.select(F.col("id").cast("long").alias("id"), "uri", "payload")), path)
-    return resolve(read(spark, path))
+    ws = Workspace(spark, "warc")
+    path = path or f"{ws.path}/archives"
+    write(records.select(F.col("id").cast("long").alias("id"), "uri", "payload"), path)
+    return resolve(ws.table(read(spark, path), "headers"))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from collections import Counter
 
@@ -31,7 +32,7 @@ def test_archives_round_trip(spark, tmp_path):
         assert got[i] == ("revisit" if expected is not None else "response", expected, len(b), hashlib.sha256(b).hexdigest())
     assert all(r.intact for r in rows if r.record_type == "response")
     names = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
-    texts = {bytes(block) for p in names for f, block in warc.records_in(p.read_bytes()) if f["WARC-Type"] == "response"}
+    texts = {bytes(block) for p in names for f, block in warc.records_in(gzip.decompress(p.read_bytes())) if f["WARC-Type"] == "response"}
     assert any(t.endswith(b"x" * 300000) for t in texts)
     assert warc.deduplicated(spark, df.limit(0)).count() == 0
 
@@ -56,7 +57,7 @@ def test_blocks_are_stitched(spark, tmp_path, block):
         docs = " ".join("E" if x == 0 else "x" for x in ids).replace(" ", "").split("E")
         expected |= {(f"f{f}", k, len(x), k < len(docs) - 1) for k, x in enumerate(docs) if k < len(docs) - 1 or x}
     (tmp_path / "empty").write_bytes(b"")
-    got = {(r.file, r.ordinal, r.n_tokens, r.closed) for r in tokencount.count(spark, f"file://{tmp_path}", 0, block).collect()}
+    got = {(r.file, r.ordinal, r.n_tokens, r.closed) for r in tokencount.count(spark, f"file://{tmp_path}", 0, "<u4", block).collect()}
     assert got == expected
 
 
