@@ -1,6 +1,6 @@
 """Token counts of documents in flat, unindexed token files.
 
-A file is nothing but little-endian 32-bit ids; a document ends with the end id.  Each file is cut into blocks; in a block a
+A file is nothing but little-endian ids of 16 bits (32 for vocabularies beyond 65,536); a document ends with the end id.  Each file is cut into blocks; in a block a
 vectorised search finds the end ids, which gives the lengths between them and the open rests at both sides.  A prefix scan
 over the blocks of a file, in order, numbers the documents and stitches what crosses block borders.
 
@@ -20,23 +20,30 @@ from engram.llm.workspace import Workspace
 BLOCK_IDS = 1 << 20
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 50256) -> None:
+def width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 50256) -> str:
     """Writes the ids of the texts, each followed by the end id, as one flat file a partition.
 
     The text writer copies the bytes of a string as they are and ends each row with the separator: here, the end id.
+    Returns the ids' format.
     """
     tokenizer = tokenizer or default_path()
+    kind = width(max(encoder(tokenizer).size, end_id + 1))
 
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 ids = [enc.ids(t or "") for t in batch.column(0).slice(low, 256).to_pylist()]
-                yield pa.record_batch([pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["b"])
+                yield pa.record_batch([pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["b"])
 
-    separator = end_id.to_bytes(4, "little").decode("latin-1")
+    separator = np.array(end_id, kind).tobytes().decode("latin-1")
     raw = docs.select("text").mapInArrow(run, "b binary").select(F.col("b").cast("string").alias("value"))
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+    return kind
 
 
 def scan(data: np.ndarray, end_id: int) -> tuple[np.ndarray, int, int]:
@@ -47,7 +54,7 @@ def scan(data: np.ndarray, end_id: int) -> tuple[np.ndarray, int, int]:
     return np.diff(ends, prepend=-1) - 1, len(ends), len(data) - int(ends[-1]) - 1
 
 
-def count(spark: SparkSession, path: str, end_id: int = 50256, block_ids: int = BLOCK_IDS) -> DataFrame:
+def count(spark: SparkSession, path: str, end_id: int = 50256, kind: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
     """file, ordinal (from 0 in its file), n_tokens (without the end id), closed: one row a document of the files under path."""
     ws = Workspace(spark, "tokencount")
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("lengths", pa.list_(pa.int64())), ("ends", pa.int64()), ("rest", pa.int64())])
@@ -55,7 +62,7 @@ def count(spark: SparkSession, path: str, end_id: int = 50256, block_ids: int =
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4")
+                ids = np.frombuffer(content.as_buffer(), kind)
                 for k in range(0, len(ids), block_ids):
                     lengths, ends, rest = scan(ids[k : k + block_ids], end_id)
                     yield pa.record_batch([pa.array([name]), pa.array([k // block_ids], pa.int64()), pa.array([lengths], schema[2].type), pa.array([ends], pa.int64()), pa.array([rest], pa.int64())], schema=schema)
