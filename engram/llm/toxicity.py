@@ -1,8 +1,8 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon holds known insults and what labelled training rows add: words, and stems (word beginnings), whose odds of standing
-in a toxic text are high.  A word is matched by walking the trie with the states of its Levenshtein automaton, so that all terms
-within the allowed distance are met in one walk.  Each hit is scored with its context: quotation marks around it, verbs of
+in a toxic text are high.  A word runs through the Levenshtein automata of all terms of the trie at once, made deterministic
+step by step as words ask for it.  Each hit is scored with its context: quotation marks around it, verbs of
 saying near it, and words that address someone.  A logistic model on these scores is fitted on training rows.
 
 Training rows are those whose id's CRC-32 is not divisible by FOLDS, at most about ``max_rows`` of them, chosen by hash of the id.
@@ -25,7 +25,7 @@ from engram.llm.workspace import Workspace
 FOLDS = 5
 STEM = (3, 7)
 WINDOW = 5
-_WORD = re.compile(r"[^\W_](?:[^\W_]|['’*@$!](?=[^\W_]))*|[\"“”«»„]")
+_WORD = re.compile(r"[^\W_]+(?:['’*@$!]+[^\W_]+)*|[\"“”«»„]")
 _LEET = str.maketrans("013457@$!", "oieastasi", "*'’")
 _QUOTES = frozenset('"“”«»„')
 #: Seed terms, and context cues.
@@ -42,6 +42,7 @@ class Trie:
     terms: list[str]
     stems: list[str]
     root: list = field(init=False)
+    automata: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.root = [{}, -1, -1]
@@ -70,27 +71,85 @@ class Trie:
         return (3, found) if found else (0, 0)
 
     def near(self, word: str, most: int) -> int | None:
-        """Least distance, at most ``most``, of a term to the word.
+        """Least distance, at most ``most``, of a term to the word; swapped neighbours count as one change."""
+        if most not in self.automata:
+            self.automata[most] = Automaton(self.root, most)
+        return self.automata[most].distance(word)
 
-        The automaton's state after a prefix of a term is the row of distances to the word's prefixes; a branch of the trie is
-        left as soon as every entry exceeds ``most``.  Swapped neighbours count as one change.
-        """
-        best = None
-        stack = [(self.root, list(range(len(word) + 1)), None, "")]
+
+class Automaton:
+    """The Levenshtein automata of all terms of a trie at once, made deterministic as words ask for it.
+
+    A state is a set of (trie node, changes so far, letter still owed by a swap).  Most words reach the empty state after a
+    few letters, so a look-up costs a few dictionary reads.
+    """
+
+    def __init__(self, root: list, most: int, memory: int = 20_000):
+        self.root, self.most, self.memory = root, most, memory
+        self.reset()
+
+    def reset(self) -> None:
+        self.known: dict[frozenset, int] = {}
+        self.next: list[dict[str, int]] = []
+        self.states: list[list] = []
+        self.accepts: list[int | None] = []
+        self.start = self.number({(id(self.root), None): (self.root, 0)})
+
+    def number(self, items: dict) -> int:
+        """The number of a state, closed under leaving out letters of terms."""
+        stack = [(node, e, owed) for (_, owed), (node, e) in items.items()]
         while stack:
-            node, row, above, last = stack.pop()
-            if node[1] >= 0 and row[-1] <= most and (best is None or row[-1] < best):
-                best = row[-1]
-            for c, child in node[0].items():
-                new = [row[0] + 1]
-                for k, x in enumerate(word):
-                    d = min(new[k] + 1, row[k + 1] + 1, row[k] + (x != c))
-                    if above is not None and k and x == last and word[k - 1] == c:
-                        d = min(d, above[k - 1] + 1)
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, new, row, c))
-        return best
+            node, e, owed = stack.pop()
+            if owed is None and e < self.most:
+                for child in node[0].values():
+                    k = (id(child), None)
+                    if k not in items or items[k][1] > e + 1:
+                        items[k] = (child, e + 1)
+                        stack.append((child, e + 1, None))
+        key = frozenset((k, e) for k, (_, e) in items.items())
+        n = self.known.get(key)
+        if n is None:
+            n = self.known[key] = len(self.states)
+            self.states.append([(node, e, owed) for (_, owed), (node, e) in items.items()])
+            self.next.append({})
+            self.accepts.append(min((e for node, e, owed in self.states[-1] if owed is None and node[1] >= 0), default=None))
+        return n
+
+    def step(self, state: int, c: str) -> int:
+        items: dict = {}
+
+        def add(node, e, owed=None):
+            k = (id(node), owed)
+            if k not in items or items[k][1] > e:
+                items[k] = (node, e)
+
+        for node, e, owed in self.states[state]:
+            if owed is not None:
+                if c == owed:
+                    add(node, e)
+                continue
+            if c in node[0]:
+                add(node[0][c], e)
+            if e < self.most:
+                add(node, e + 1)
+                for x, child in node[0].items():
+                    if x != c:
+                        add(child, e + 1)
+                        if c in child[0]:
+                            add(child[0][c], e + 1, x)
+        n = self.next[state][c] = self.number(items)
+        return n
+
+    def distance(self, word: str) -> int | None:
+        if len(self.states) > self.memory:
+            self.reset()
+        state = self.start
+        for c in word:
+            n = self.next[state].get(c)
+            state = self.step(state, c) if n is None else n
+            if not self.states[state]:
+                return None
+        return self.accepts[state]
 
 
 class Matcher:
@@ -153,18 +212,23 @@ def lexicon(rows: DataFrame, least: int = 6, share: float = 0.01, odds: float =
     def run(batches):
         toxic, clean = Counter(), Counter()
         for batch in batches:
+            if len(toxic) + len(clean) > 500_000:
+                yield from flushed(toxic, clean)
             for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 stems = set()
                 for w in set(_WORD.findall((text or "").lower())):
                     stems.update(w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1))
                     stems.add(w + "$")
                 (toxic if bad else clean).update(stems)
-        keys = list(toxic.keys())  # what no toxic text holds is not sought
-        rest = [k for k in clean if k not in toxic]
-        for names in (keys, rest):
-            for i in range(0, len(names), 50_000):
-                part = names[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["stem", "t", "n"])
+        yield from flushed(toxic, clean)
+
+    def flushed(toxic, clean):
+        names = list(toxic.keys() | clean.keys())
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["stem", "t", "n"])
+        toxic.clear()
+        clean.clear()
 
     total = rows.groupBy("toxic").count().collect()
     t, n = (next((r["count"] for r in total if r.toxic == x), 0) for x in (True, False))
