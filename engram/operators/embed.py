@@ -16,14 +16,17 @@ OPENAI_BATCH = 512
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    """Unit vector of uniform values in [-1, 1) from SHA-256 of text and place; e0 if the norm is 0."""
+    """Unit vector of uniform values in [-1, 1) from SHA-256 of the text's digest and the place; e0 if the norm is 0.
+
+    One-element arrays bind the digest and the norm, which a lambda would else work out anew for each place.
+    """
     if dim <= 0:
         raise EmbeddingError("dim must be positive")
-    part = lambda i: F.conv(F.substring(F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1.0
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part)
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(raw, lambda x, i: F.when(size == 0, F.when(i == 0, 1.0).otherwise(0.0)).otherwise(x / size))
-    return unit
+    part = lambda h, i: F.conv(F.substring(F.sha2(F.concat(h, F.lit(":"), i.cast("string")), 256), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1.0
+    raw = F.transform(F.array(F.sha2(text, 256)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: part(h, i)))
+    sized = F.transform(raw, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    unit = F.transform(sized, lambda s: F.transform(s.v, lambda x, i: F.when(s.n == 0, F.when(i == 0, 1.0).otherwise(0.0)).otherwise(x / s.n)))
+    return F.get(unit, F.lit(0))
 
 
 def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:

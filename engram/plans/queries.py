@@ -418,7 +418,7 @@ def consolidation_log(s, d):
     return stats.latest(load(s, d, "consolidate_log"))
 
 
-@query("""WITH raw AS (SELECT id, list_transform(range(8), lambda i: ('0x' || substr(sha256(content || ':' || i), 1, 8))::UBIGINT::DOUBLE / 2147483648.0D - 1.0D) AS v FROM memories)
+@query("""WITH raw AS (SELECT id, list_transform(range(8), lambda i: ('0x' || substr(sha256(sha256(content) || ':' || i), 1, 8))::UBIGINT::DOUBLE / 2147483648.0D - 1.0D) AS v FROM memories)
 SELECT id, round(v[1] / n, 6) AS c0, round(v[2] / n, 6) AS c1, round(v[3] / n, 6) AS c2, round(v[4] / n, 6) AS c3 FROM (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM raw)""", name="hash_embedding")
 def _hash_embedding(s, d):
     e = load(s, d, "memories").select("id", hash_embedding(F.col("content"), 8).alias("e"))
