@@ -84,6 +84,17 @@ def _all(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [c.column() for c in rule], F.lit(True))
 
 
+def _centred(rows: DataFrame, rule: Rule) -> Rule:
+    """The rule with each threshold half-way between the labelled values on both sides: the same rows, with the widest margin."""
+    aggs = []
+    for i, c in enumerate(rule):
+        x = F.col(f"f.{c.feature}")
+        aggs += [F.max(F.when(x <= c.threshold, x)).alias(f"low{i}"), F.min(F.when(x > c.threshold, x)).alias(f"high{i}")]
+    row = rows.agg(*aggs).first()
+    ends = [(row[f"low{i}"], row[f"high{i}"]) for i in range(len(rule))]
+    return tuple(c if None in e else Condition(c.feature, c.above, sum(e) / 2) for c, e in zip(rule, ends, strict=True))
+
+
 def _bin(feature: str, points: list[float]) -> Column:
     """How many of the points lie below the feature."""
     return F.size(F.filter(F.array(*map(F.lit, points)), lambda t: t < F.col(f"f.{feature}")))
@@ -128,6 +139,7 @@ def learn(labelled: DataFrame, bins: int = 24, conditions: int = 3, rules: int =
         rule = shorter[-i]
         if score < precision:
             break
+        rule = _centred(left, rule)
         found.append(rule)
         left = left.filter(~_all(rule))
     return found
@@ -142,12 +154,15 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **kw) -> list[Rule]:
-    """stats: doc_id, f.  labels: doc_id, quality.  About max_rows labelled rows, chosen by hash of the id, are used."""
+    """stats: doc_id, s, f.  labels: doc_id, quality.  About max_rows labelled rows, chosen by hash of the id, are used.
+
+    The list judges what the base rules let pass, so it learns from such rows only.
+    """
     labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
     share = min(1.0, max_rows / max(1, labels.count()))
     picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     ws = Workspace(spark, "rules")
-    rows = ws.table(stats.join(picked, "doc_id").select("f", "bad", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")).coalesce(8), "labelled")
+    rows = ws.table(stats.join(picked, "doc_id").filter(~base_failed()).select("f", "bad", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")).coalesce(8), "labelled")
     return learn(rows, **kw)
 
 
