@@ -162,7 +162,9 @@ def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_rows: int
     share = min(1.0, max_rows / max(1, labels.count()))
     picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     ws = Workspace(spark, "rules")
-    rows = ws.table(stats.join(picked, "doc_id").filter(~base_failed()).select("f", "bad", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")).coalesce(8), "labelled")
+    chosen = stats.join(picked, "doc_id").select(base_failed().alias("base"), "f", "bad", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune"))
+    # Written before it is filtered: a filter on statistics that are not written yet would work them out again for each use.
+    rows = ws.table(chosen.coalesce(8), "labelled").filter(~F.col("base")).drop("base")
     return learn(rows, **kw)
 
 
