@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from engram import tools
 from engram.api import Engine
 from engram.schema import Config
 
@@ -16,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("health", "status", "consolidate", "forget", "migrate"):
+    for name in ("health", "status", "consolidate", "forget", "migrate", "tools"):
         sub.add_parser(name)
     s = sub.add_parser("search")
     s.add_argument("text")
@@ -30,6 +31,10 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--depth", type=int, default=2)
     a = p.parse_args(argv)
     engine = Engine(SparkSession.builder.getOrCreate(), a.path, Config.load(a.config))
+    if a.command == "tools":
+        for line in tools.serve(engine):
+            print(line, flush=True)
+        return 0
     rows = lambda df: [r.asDict() for r in df.collect()]
     out = {
         "health": engine.health, "status": engine.status, "consolidate": engine.consolidate, "forget": engine.forget, "migrate": engine.store.migrate,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +31,18 @@ def from_distance(d: Column) -> Column:
 
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in vector])
+
+
+def from_bytes(df: DataFrame, column: str) -> DataFrame:
+    """df with the column's little-endian 32-bit floats as an array: vectors of foreign files.  A null stays null."""
+    names = df.columns
+    at = names.index(column)
+
+    def run(batches):
+        for batch in batches:
+            vectors = [None if b is None else np.frombuffer(b, "<f4") for b in batch.column(at).to_pylist()]
+            columns = [pa.array(vectors, pa.list_(pa.float32())) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = [f"`{f.name}` {'array<float>' if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields]
+    return df.mapInArrow(run, ", ".join(kinds))

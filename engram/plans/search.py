@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators import context, graph, retrieval
@@ -60,7 +60,7 @@ def _filtered(rows: DataFrame, q: Query) -> DataFrame:
 def ranked(rows: DataFrame, tags: DataFrame, q: Query) -> DataFrame:
     """Filters, then lifts by wished tags, then the threshold; the page with ``total``, the number of rows before paging.
 
-    rows are bounded (at most 2 * limit), so one task counts them.
+    A window of nearest rows (at most 2 * limit) lies in one task anyway, which counts as it goes; all rows are counted apart.
     """
     rows = _filtered(rows, q)
     if q.context:
@@ -70,10 +70,11 @@ def ranked(rows: DataFrame, tags: DataFrame, q: Query) -> DataFrame:
         lift = F.aggregate(F.filter(F.array(*hits), lambda x: x > 0), F.lit(0.0), lambda s, x: s + x)
         rows = rows.withColumn("score", F.col("score") + lift)
     rows = rows.filter((F.col("score") >= q.threshold) & ~F.isnan("score"))
-    # On a page's worth of rows a count that goes along is cheaper than a window.
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    if q.windowed or q.mode == "deep":
+        counted = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+        return counted.orderBy(F.desc("score"), "id").offset(q.offset).limit(q.limit)
     page = rows.orderBy(F.desc("score"), "id").offset(q.offset).limit(q.limit)
-    return page.join(F.broadcast(total), how="cross")
+    return page.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))), how="cross")
 
 
 def search(spark: SparkSession, memories: DataFrame, tags: DataFrame, edges: DataFrame, query: Query) -> DataFrame:

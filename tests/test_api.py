@@ -2,8 +2,11 @@ import json
 
 import pytest
 
+from engram import tools
 from engram.__main__ import main
 from engram.api import Engine
+from engram.functions import vectors
+from engram.operators import stats
 from engram.schema import Config, Embedder, MemoryNotFound, ValidationError
 
 
@@ -55,3 +58,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)[0]["id"] == made
     main([path, "status"])
     assert json.loads(capsys.readouterr().out)["total_memories"] == 1
+
+
+def test_tools(engine):
+    import struct
+
+    ask = lambda i, method, **params: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": params})
+    use = lambda i, name, **a: ask(i, "tools/call", name=name, arguments=a)
+    said = [json.loads(x) for x in tools.serve(engine, [ask(1, "initialize"), '{"jsonrpc": "2.0", "method": "notifications/initialized"}', ask(2, "tools/list"), use(3, "write_memory", content="one"), "{", ask(5, "nope"), use(6, "get_memory", id="mem_x"), use(7, "get_memory")])]
+    assert len(said) == 7 and len(said[1]["result"]["tools"]) == 5
+    made = json.loads(said[2]["result"]["content"][0]["text"])["id"]
+    assert [x.get("error", {}).get("code") for x in said[3:]] == [-32700, -32601, None, -32602] and said[5]["result"]["isError"]
+    other = json.loads(json.loads(next(tools.serve(engine, [use(1, "write_memory", content="two")])))["result"]["content"][0]["text"])["id"]
+    said = [json.loads(json.loads(x)["result"]["content"][0]["text"]) for x in tools.serve(engine, [use(1, "relate", source_id=made, target_id=other), use(2, "search_memory", query="one", limit=1), use(3, "get_memory", id=made), use(4, "delete_memory", id=made)])]
+    assert said[1][0]["id"] == made and said[2]["content"] == "one" and said[3] == {"deleted": made}
+    df = engine.spark.createDataFrame([(1, bytearray(struct.pack("<3f", 1, 2, 3))), (2, None)], "id int, v binary")
+    assert [None if r.v is None else list(r.v) for r in vectors.from_bytes(df, "v").collect()] == [[1.0, 2.0, 3.0], None]
+    log = engine.spark.createDataFrame([("GET", "/a", 200, 0.02), ("GET", "/a", 200, 3.0)], "method string, path string, status int, seconds double")
+    row = stats.requests(log).first()
+    assert (row.n, row["le_0.025"], row["le_5"]) == (2, 1, 2)
