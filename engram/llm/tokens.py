@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
-import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 #: Longer runs without a break go through the library whose time grows least with them.
 LONG_RUN = 2000
-_LONG = re.compile(r"\S{%d}" % LONG_RUN)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,12 +27,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
-        self.size = self.slow.get_vocab_size()
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            table = json.load(f)
+        added = {t["content"]: t["id"] for t in table.get("added_tokens", [])}
+        self.special = tuple(added)
+        self.size = max([*added.values(), *table["model"]["vocab"].values()]) + 1
         self.fast = None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
@@ -42,10 +41,15 @@ class Encoder:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            probe = "It's naïve: 1234 x_y  z\n\n\tÜber—das 😀 don't   end "
-            if fast.encode_ordinary(probe) == self.slow.encode(probe, add_special_tokens=False).ids:
-                self.fast = fast
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    @cached_property
+    def slow(self):
+        """Loaded when the first text needs it, as it takes its share of memory."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast and len(text) >= LONG_RUN and (_spaceless(text) or "  " * 50 in text):
