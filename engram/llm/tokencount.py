@@ -18,6 +18,8 @@ from engram.llm.tokens import default_path, encoder
 from engram.llm.workspace import Workspace
 
 BLOCK_IDS = 1 << 20
+#: A file is read whole by one task, so a large partition becomes several files.
+FILE_DOCUMENTS = 1 << 14
 
 
 def width(vocabulary: int) -> str:
@@ -25,7 +27,7 @@ def width(vocabulary: int) -> str:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 50256) -> str:
-    """Writes the ids of the texts, each followed by the end id, as one flat file a partition.
+    """Writes the ids of the texts, each followed by the end id, as flat files of FILE_DOCUMENTS at most.
 
     The text writer copies the bytes of a string as they are and ends each row with the separator: here, the end id.
     Returns the ids' format.
@@ -42,7 +44,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     separator = np.array(end_id, kind).tobytes().decode("latin-1")
     raw = docs.select("text").mapInArrow(run, "b binary").select(F.col("b").cast("string").alias("value"))
-    raw.write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+    raw.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
     return kind
 
 
