@@ -43,8 +43,9 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _counted(characters: str) -> Column:
+    """How many of these characters, none of a-z, the text holds."""
+    return F.length("_rest") - F.length(F.translate("_rest", characters, ""))
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -52,7 +53,9 @@ def statistics(rows: DataFrame) -> DataFrame:
     own = rows.columns
     t = F.coalesce("text", F.lit(""))
     df = rows.withColumn("_t", t).withColumn("_words", F.filter(F.split("_t", WORD_BREAK), lambda w: w != ""))
-    df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
+    # What is left without the commonest letters is short, and holds all characters that are counted below.
+    df = df.withColumn("_rest", F.translate("_t", "abcdefghijklmnopqrstuvwxyz", ""))
+    df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     hashed = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
     df = df.withColumn("_grams", F.when(F.size("_words") >= 3, F.slice(hashed, 1, F.size("_words") - 2)).otherwise(F.array().cast("array<bigint>")))
     placed = F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -62,15 +65,15 @@ def statistics(rows: DataFrame) -> DataFrame:
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(starts, start, lambda a, i: F.struct(i.alias("last"), (a.n + F.least(F.lit(3), i - a["last"])).alias("n"))).n
     dup = F.size("_lines") - F.size(F.array_distinct("_lines"))
-    s = F.struct(F.size("_words").cast("long").alias("n_words"), _without(F.col("_t"), SPACES).cast("long").alias("word_chars"), (F.length("_t") - _without(F.col("_t"), "#*$%&|<>")).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).alias("n_repeat_words"))
-    size, lines = F.length("_t"), F.size("_lines")
+    s = F.struct(F.size("_words").cast("long").alias("n_words"), (F.length("_t") - _counted(SPACES)).cast("long").alias("word_chars"), _counted("#*$%&|<>").cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).alias("n_repeat_words"))
+    lines = F.size("_lines")
     df = df.withColumn("s", s)
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     f = {
         "words": F.col("s.n_words").cast("double"), "word_length": ratio(F.col("s.word_chars"), F.col("s.n_words")), "symbols": ratio(F.col("s.n_symbols"), F.col("s.word_chars")),
         "dup_lines": ratio(F.col("s.n_dup_lines"), lines), "repeats": ratio(F.col("s.n_repeat_words"), F.col("s.n_words")),
-        "upper": ratio(size - _without(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("s.word_chars")), "digits": ratio(size - _without(F.col("_t"), "0123456789"), F.col("s.word_chars")),
-        "bangs": ratio(size - _without(F.col("_t"), "!"), F.col("s.n_words")), "marks": ratio(size - _without(F.col("_t"), ".,;:?"), F.col("s.n_words")),
+        "upper": ratio(_counted("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("s.word_chars")), "digits": ratio(_counted("0123456789"), F.col("s.word_chars")),
+        "bangs": ratio(_counted("!"), F.col("s.n_words")), "marks": ratio(_counted(".,;:?"), F.col("s.n_words")),
         "distinct": ratio(F.size(F.array_distinct("_words")), F.col("s.n_words")), "line_words": ratio(F.col("s.n_words"), lines),
     }
     return df.withColumn("f", F.struct(*[f[k].alias(k) for k in FEATURES])).select(*own, "s", "f")
