@@ -37,18 +37,20 @@ FEATURES = ("exact", "stem", "near", "quoted", "said", "addressed", "share", "so
 
 @dataclass
 class Trie:
-    """Terms by letters; a node is [children, term id or -1, stem id or -1]."""
+    """Terms by letters; a node is [children, term id or -1, stem id or -1].  firm: the terms sought in misspelled form too (None: all)."""
 
     terms: list[str]
     stems: list[str]
+    firm: list[str] | None = None
     root: list = field(init=False)
+    firm_root: list = field(init=False)
     automata: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.root = [{}, -1, -1]
-        for where, words in ((1, self.terms), (2, self.stems)):
+        self.root, self.firm_root = [{}, -1, -1], [{}, -1, -1]
+        for root, where, words in ((self.root, 1, self.terms), (self.root, 2, self.stems), (self.firm_root, 1, self.terms if self.firm is None else self.firm)):
             for i, w in enumerate(words):
-                node = self.root
+                node = root
                 for c in w:
                     node = node[0].setdefault(c, [{}, -1, -1])
                 node[where] = i
@@ -73,7 +75,7 @@ class Trie:
     def near(self, word: str, most: int) -> int | None:
         """Least distance, at most ``most``, of a term to the word; swapped neighbours count as one change."""
         if most not in self.automata:
-            self.automata[most] = Automaton(self.root, most)
+            self.automata[most] = Automaton(self.firm_root, most)
         return self.automata[most].distance(word)
 
 
@@ -187,7 +189,9 @@ class Matcher:
                 quoted += inside
                 said += not SAYING.isdisjoint(near)
                 addressed += not ADDRESS.isdisjoint(near)
-        return [*np.log1p(counts).tolist(), quoted / hits, said / hits, addressed / hits, min(1.0, 20 * hits / len(words)), 1.0]
+        exact, stem, near = counts
+        # A misspelled term counts little less than a plain one; what it adds or lacks beyond that is learned.
+        return [*np.log1p([exact + 0.8 * near, stem, near]).tolist(), quoted / hits, said / hits, addressed / hits, min(1.0, 20 * hits / len(words)), 1.0]
 
 
 def is_held_out() -> Column:
@@ -202,11 +206,12 @@ def training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(picked.hint("merge"), "doc_id").select("text", "toxic").dropDuplicates()
 
 
-def lexicon(rows: DataFrame, least: int = 6, share: float = 0.01, odds: float = 12.0, most: int = 400) -> Trie:
+def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float = 12.0, most: int = 400, firm: float = 0.1) -> Trie:
     """Seed terms, and the ``most`` best words and stems that ``odds`` times as many toxic as other rows have.
 
     Counted by document, in each partition first; ``least`` toxic rows, and ``share`` of them, must have it.  Of stems that
-    begin one another the shorter stays; a stem that is little more than one of the words goes.
+    begin one another the shorter stays; a stem that is little more than one of the words goes.  Seed terms, and words that a
+    share of ``firm`` of the toxic rows has, are met in misspelled form too; rarer words often stem from a group of copies.
     """
 
     def run(batches):
@@ -230,6 +235,9 @@ def lexicon(rows: DataFrame, least: int = 6, share: float = 0.01, odds: float =
         toxic.clear()
         clean.clear()
 
+    # Of copies, near ones too, most share their least three-word shingle, and count once.
+    least_gram = F.array_min(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
+    rows = rows.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("gram", least_gram).dropDuplicates(["gram", "toxic"]).select("text", "toxic")
     total = rows.groupBy("toxic").count().collect()
     t, n = (next((r["count"] for r in total if r.toxic == x), 0) for x in (True, False))
     found = rows.mapInArrow(run, "stem string, t long, n long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
@@ -242,7 +250,7 @@ def lexicon(rows: DataFrame, least: int = 6, share: float = 0.01, odds: float =
         if not any(s.startswith(x) for x in stems) and not any(w.startswith(s) and n >= 0.8 * rows_with[s] for w, n in words.items()):
             stems.append(s)
     terms = sorted({*SEED_TERMS, *(w for w in words if not any(w.startswith(s) for s in stems))})
-    return Trie(terms, stems)
+    return Trie(terms, stems, sorted({*SEED_TERMS, *(w for w in terms if words.get(w, 0) >= firm * t)}))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
