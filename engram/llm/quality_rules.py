@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from engram.llm.workspace import Workspace
 
 SPACES = " \t\n\x0b\x0c\r"
+#: Labelled rows that rules are learned from, about.
+MAX_ROWS = 20_000
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "bangs", "marks", "distinct", "line_words")
@@ -156,18 +158,23 @@ def decision(rules: list[Rule]) -> Column:
     return out
 
 
-def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **kw) -> list[Rule]:
-    """stats: doc_id, s, f.  labels: doc_id, quality.  About max_rows labelled rows, chosen by hash of the id, are used.
+def sampled(labels: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id, bad of about max_rows labelled rows, chosen by hash of the id: few enough to broadcast."""
+    labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
+    share = min(1.0, max_rows / max(1, labels.count()))
+    return labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **kw) -> list[Rule]:
+    """stats: doc_id, s, f.  labels: doc_id, quality.  About max_rows labelled rows are used.
 
     The list judges what the base rules let pass, so it learns from such rows only.
     """
-    labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    share = min(1.0, max_rows / max(1, labels.count()))
-    picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = F.broadcast(sampled(labels, max_rows))
     ws = Workspace(spark, "rules")
     chosen = stats.join(picked, "doc_id").select(base_failed().alias("base"), "f", "bad", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune"))
     # Written before it is filtered: a filter on statistics that are not written yet would work them out again for each use.
-    rows = ws.table(chosen.coalesce(8), "labelled").filter(~F.col("base")).drop("base")
+    rows = ws.table(chosen, "labelled").filter(~F.col("base")).drop("base")
     return learn(rows, **kw)
 
 
@@ -181,7 +188,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that neither the base rules nor the learned list reject, with their own columns."""
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = docs.select("doc_id", "text").join(F.broadcast(sampled(labels, MAX_ROWS)), "doc_id", "left_semi")
     rules = fit(spark, statistics(known), labels)
     judged = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
     # The filter stays above a generator; pushed below it, each use of a statistic would compute its whole tree again.
