@@ -69,18 +69,18 @@ def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, sa
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): for each id of the edge list (a, b), the smallest id that it reaches.
 
-    Alternates large-star and small-star steps, each written to the shared folder, until no edge changes; hubs are
-    handled by skew-splitting joins rather than by collecting neighbours.
+    Alternates large-star and small-star steps, each written to the shared folder, until no edge changes; a hub's edges are
+    dealt by salt, and its neighbours are never collected.
     """
     spark = ws.spark
     now = ws.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     i, last = 0, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        low = attach(both, "u", "v", {"m": F.col("v")}, F.min)
+        large = low.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low2 = attach(large, "u", "v", {"m": F.col("v")}, F.min)
+        small = low2.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         i += 1
         after = ws.table(small, f"{name}-{i}")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
