@@ -31,6 +31,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,200})")
+#: Ten digits whose area and exchange can exist.
+_PLACED = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Gazetteers and context cues of the labelers.
@@ -88,7 +90,7 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int, ...]:
-    """Votes of the labelers format, checksum, gazetteer, context and shape on one candidate."""
+    """Votes of the labelers format, checksum, gazetteer, context and shape on one candidate; format is -1 only for failed bounds or checksums."""
     s = text[start:end]
     digits = "".join(c for c in s if "0" <= c <= "9")
     left = re.findall(r"[a-z_-]+", text[max(0, start - 40) : start].lower())[-3:]
@@ -102,9 +104,11 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
         return 1 if strict else -1, 1 if luhn(digits) else -1, 1 if digits.startswith(CARD_STARTS) else -1, cue, 1 if len(digits) in (14, 15, 16) else -1
     if kind == "phone":
         code = any(digits[:k] in CALLING_CODES for k in (1, 2)) if s[0] == "+" else None
-        return 1 if strict else -1, 0, 0 if code is None else 1 if code else -1, cue, 1 if 9 <= len(digits) <= 15 and re.search(r"[ ().-]", s) else -1
+        placed = bool(_PLACED.fullmatch(digits))
+        form = 1 if strict else -1 if s[0] == "+" else 1 if placed else 0
+        return form, 0, (0 if placed else -1) if code is None else 1 if code else -1, cue, 1 if 9 <= len(digits) <= 15 and re.search(r"[ ().-]", s) else -1
     distinct = len(set(s))
-    return 1 if re.fullmatch(r"[0-9a-f]{16,}|[A-Za-z0-9+/_=-]{20,}", s) else -1, 0, 1 if left and left[-1] in CUES[kind] else -1, cue, 1 if digits and distinct >= 8 else -1
+    return 1 if re.fullmatch(r"[0-9a-f]{16,}|[A-Za-z0-9+/_=-]{20,}", s) else 0, 0, 1 if left and left[-1] in CUES[kind] else -1, cue, 1 if digits and distinct >= 8 else -1
 
 
 def code_of(kind: str, vote: tuple[int, ...]) -> int:
@@ -180,7 +184,7 @@ def accepted(counts: dict[int, int]) -> list[int]:
     x = features(kinds, votes_)
     w = train(x, post, weight)
     # A span whose own checksum or bounds fail is not taken on context alone.
-    return codes[(x @ w >= 0) & (votes_[:, 0] == 1)].tolist()
+    return codes[(x @ w >= 0) & (votes_[:, 0] >= 0)].tolist()
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -196,9 +200,11 @@ def candidates(docs: DataFrame) -> DataFrame:
             return nothing
         taken = sorted((s, e) for _, s, e in found)
         cands = [{"start": s, "kind": KINDS.index(k), "end": e, "code": code_of(k, votes(text, k, s, e, True)), "base": True} for k, s, e in found]
-        for k, s, e in sorted(failed, key=lambda x: (x[1], -x[2])):
+        voted = [(s, e, k, votes(text, k, s, e, False)) for k, s, e in failed]
+        # What cannot be taken does not stand in the way of what can.
+        for s, e, k, vote in sorted(voted, key=lambda x: (x[3][0] < 0, x[0], -x[1])):
             if not any(s < b and a < e for a, b in taken):
-                cands.append({"start": s, "kind": KINDS.index(k), "end": e, "code": code_of(k, votes(text, k, s, e, False)), "base": False})
+                cands.append({"start": s, "kind": KINDS.index(k), "end": e, "code": code_of(k, vote), "base": False})
                 taken.append((s, e))
         digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
         return {**{f"n_{x}": sum(k == x for k, _, _ in found) for x in KINDS[:4]}, "base_sha256": digest, "cands": cands}

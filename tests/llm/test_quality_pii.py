@@ -112,3 +112,18 @@ def test_em_separates_reliable_labelers():
     patterns, weight = np.unique(votes, axis=0, return_counts=True)
     post, table = pii.estimate(patterns, weight.astype(float))
     assert abs(table[1, 0, 2] - 0.95) < 0.04 and abs(table[1, 2, 2] - 0.7) < 0.04
+
+
+def test_wide_phones_and_short_secrets_are_taken(spark):
+    texts = [
+        "call (202) 555-0143 now", "phone: 202-555-0143", "password = Tr0ub4dor-and3 x", "ref 202-555-0143 12345 y",
+        "+1 (843) 555-7672 17012345 99 is long", "from 300.1.1.1 on", "card 4111-1111-1111-1112 and", "mail a@b.com +1 202 555 0143",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 100", "text").toDF("doc_id", "text"))
+    got = {r.doc_id: r.spans for r in pii.find(spark, docs).collect() if r.doc_id < 100}
+    assert [got[i] for i in range(7)] == ["phone:5:19", "phone:7:19", "secret:11:25", "phone:4:16", "phone:3:17", "", ""]
+    assert got[7] == "email:5:12,phone:13:28"
+    clean = {r.doc_id: r.text for r in pii.redact(spark, docs).collect() if r.doc_id < 100}
+    assert [clean[i] for i in range(4)] == ["call [PHONE] now", "phone: [PHONE]", "password = [SECRET] x", "ref [PHONE] 12345 y"]
+    assert clean[5] == texts[5] and clean[6] == texts[6]
