@@ -1,8 +1,8 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 The lexicon holds known insults and what labelled training rows add: words, and stems (word beginnings), whose odds of standing
-in a toxic text are high.  A word runs through the Levenshtein automata of all terms of the trie at once, made deterministic
-step by step as words ask for it.  Each hit is scored with its context: quotation marks around it, verbs of
+in a toxic text are high.  A word runs through the Levenshtein automata of all terms and stems of the trie at once, made
+deterministic step by step as words ask for it; what a misspelled form counts is learned for each of them.  Each hit is scored with its context: quotation marks around it, verbs of
 saying near it, and words that address someone.  A logistic model on these scores is fitted on training rows.
 
 Training rows are those whose id's CRC-32 is not divisible by FOLDS, at most about ``max_rows`` of them, chosen by hash of the id.
@@ -35,28 +35,38 @@ ADDRESS = frozenset("you your you're youre u are tu vous ihr du sie usted eres".
 FEATURES = ("exact", "stem", "near", "quoted", "said", "addressed", "share", "some")
 
 
+def allowed(length: int) -> int:
+    """Changes that a word or stem of so many letters may have."""
+    return 0 if length < 5 else 1 if length < 9 else 2
+
+
 @dataclass
 class Trie:
-    """Terms by letters; a node is [children, term id or -1, stem id or -1].  firm: the terms sought in misspelled form too (None: all)."""
+    """Terms and stems by letters; a node is [children, term id or -1, stem id or -1, depth].
+
+    trust: what a misspelled form of each entry (terms, then stems) counts, from 0 to 1 (None: 1 for all).
+    """
 
     terms: list[str]
     stems: list[str]
-    firm: list[str] | None = None
+    trust: list[float] | None = None
     root: list = field(init=False)
-    firm_root: list = field(init=False)
     automata: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.root, self.firm_root = [{}, -1, -1], [{}, -1, -1]
-        for root, where, words in ((self.root, 1, self.terms), (self.root, 2, self.stems), (self.firm_root, 1, self.terms if self.firm is None else self.firm)):
+        self.root = [{}, -1, -1, 0]
+        for where, words in ((1, self.terms), (2, self.stems)):
             for i, w in enumerate(words):
-                node = root
+                node = self.root
                 for c in w:
-                    node = node[0].setdefault(c, [{}, -1, -1])
+                    node = node[0].setdefault(c, [{}, -1, -1, node[3] + 1])
                 node[where] = i
 
     def match(self, word: str) -> tuple[int, int]:
-        """(kind, distance): 1 a term, 2 a stem of the word, 3 a term within the distance that its length allows; 0 none."""
+        """(kind, entry): 1 a term, 2 a stem of the word, 3 a term or stem within the distance that its length allows; 0 none.
+
+        The entry is its place among terms and then stems for the third kind, and -1 for others.
+        """
         node, stem = self.root, False
         for c in word:
             node = node[0].get(c)
@@ -65,22 +75,29 @@ class Trie:
             stem = stem or node[2] >= 0
         else:
             if node[1] >= 0:
-                return 1, 0
+                return 1, -1
         if stem:
-            return 2, 0
-        most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
-        found = self.near(word, most) if most else None
-        return (3, found) if found else (0, 0)
+            return 2, -1
+        most = allowed(len(word))
+        found = self.automaton(most).find(word) if most else None
+        if found is None:
+            return 0, -1
+        _, where, i = found
+        return 3, i + (where == 2) * len(self.terms)
 
     def near(self, word: str, most: int) -> int | None:
-        """Least distance, at most ``most``, of a term to the word; swapped neighbours count as one change."""
+        """Least distance, at most ``most``, of a term to the word, or of a stem to its beginning; swapped neighbours count as one change."""
+        found = self.automaton(most).find(word)
+        return None if found is None else found[0]
+
+    def automaton(self, most: int) -> Automaton:
         if most not in self.automata:
-            self.automata[most] = Automaton(self.firm_root, most)
-        return self.automata[most].distance(word)
+            self.automata[most] = Automaton(self.root, most)
+        return self.automata[most]
 
 
 class Automaton:
-    """The Levenshtein automata of all terms of a trie at once, made deterministic as words ask for it.
+    """The Levenshtein automata of all terms and stems of a trie at once, made deterministic as words ask for it.
 
     A state is a set of (trie node, changes so far, letter still owed by a swap).  Most words reach the empty state after a
     few letters, so a look-up costs a few dictionary reads.
@@ -94,7 +111,8 @@ class Automaton:
         self.known: dict[frozenset, int] = {}
         self.next: list[dict[str, int]] = []
         self.states: list[list] = []
-        self.accepts: list[int | None] = []
+        self.accepts: list[tuple[int, int, int] | None] = []
+        self.begins: list[tuple[int, int, int] | None] = []
         self.start = self.number({(id(self.root), None): (self.root, 0)})
 
     def number(self, items: dict) -> int:
@@ -114,7 +132,9 @@ class Automaton:
             n = self.known[key] = len(self.states)
             self.states.append([(node, e, owed) for (_, owed), (node, e) in items.items()])
             self.next.append({})
-            self.accepts.append(min((e for node, e, owed in self.states[-1] if owed is None and node[1] >= 0), default=None))
+            done = [(node, e) for node, e, owed in self.states[-1] if owed is None]
+            self.accepts.append(min(((e, 1, node[1]) for node, e in done if node[1] >= 0), default=None))
+            self.begins.append(min(((e, 2, node[2]) for node, e in done if node[2] >= 0 and e <= allowed(node[3])), default=None))
         return n
 
     def step(self, state: int, c: str) -> int:
@@ -142,16 +162,21 @@ class Automaton:
         n = self.next[state][c] = self.number(items)
         return n
 
-    def distance(self, word: str) -> int | None:
+    def find(self, word: str) -> tuple[int, int, int] | None:
+        """(distance, 1 for a term or 2 for a stem, its id) of the nearest one: a term to the word, a stem to its beginning."""
         if len(self.states) > self.memory:
             self.reset()
-        state = self.start
+        state, best = self.start, None
         for c in word:
             n = self.next[state].get(c)
             state = self.step(state, c) if n is None else n
             if not self.states[state]:
-                return None
-        return self.accepts[state]
+                return best
+            begun = self.begins[state]
+            if begun is not None and (best is None or begun < best):
+                best = begun
+        ended = self.accepts[state]
+        return ended if best is None or ended is not None and ended < best else best
 
 
 class Matcher:
@@ -160,20 +185,27 @@ class Matcher:
     def __init__(self, trie: Trie, memory: int = 200_000):
         self.trie, self.memory, self.seen = trie, memory, {}
 
-    def kind(self, word: str) -> int:
+    def kind(self, word: str) -> tuple[int, int]:
+        """As Trie.match; a term with digits or signs for letters is a misspelled one."""
         k = self.seen.get(word)
         if k is None:
             if len(self.seen) >= self.memory:
                 self.seen.clear()
-            k = self.trie.match(word)[0]
-            if not k and not word.isalpha() and not word.isdigit() and (plain := word.translate(_LEET)) != word:
-                k = 3 if self.trie.match(plain)[0] in (1, 3) else 0
+            k = self.trie.match(word)
+            if not k[0] and not word.isalpha() and not word.isdigit() and (plain := word.translate(_LEET)) != word:
+                found = self.trie.match(plain)
+                k = (3, found[1]) if found[0] in (1, 3) else k
             self.seen[word] = k
         return k
 
     def features(self, text: str | None) -> list[float]:
         words = _WORD.findall(text.lower()) if text else []
-        kinds = {w: k for w in set(words) if w not in _QUOTES and (k := self.kind(w))}
+        trust, kinds = self.trie.trust, {}
+        for w in set(words) - _QUOTES:
+            k, entry = self.kind(w)
+            weight = trust[entry] if trust and entry >= 0 else 1.0
+            if k and weight > 0:
+                kinds[w] = k, weight
         if not kinds:
             return [0.0] * len(FEATURES)
         counts, quoted, said, addressed, hits, inside = [0, 0, 0], 0, 0, 0, 0, False
@@ -181,17 +213,17 @@ class Matcher:
             if w in _QUOTES:
                 inside = not inside if w == '"' else w in "“«„"
                 continue
-            k = kinds.get(w)
-            if k:
-                hits += 1
-                counts[k - 1] += 1
+            if w in kinds:
+                k, weight = kinds[w]
+                hits += weight
+                counts[k - 1] += weight
                 near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                quoted += inside
-                said += not SAYING.isdisjoint(near)
-                addressed += not ADDRESS.isdisjoint(near)
+                quoted += weight * inside
+                said += weight * (not SAYING.isdisjoint(near))
+                addressed += weight * (not ADDRESS.isdisjoint(near))
         exact, stem, near = counts
         # A misspelled term counts little less than a plain one; what it adds or lacks beyond that is learned.
-        return [*np.log1p([exact + 0.8 * near, stem, near]).tolist(), quoted / hits, said / hits, addressed / hits, min(1.0, 20 * hits / len(words)), 1.0]
+        return [*np.log1p([exact + 0.8 * near, stem, near]).tolist(), quoted / hits, said / hits, addressed / hits, min(1.0, 20 * hits / len(words)), max(weight for _, weight in kinds.values())]
 
 
 def is_held_out() -> Column:
@@ -206,12 +238,18 @@ def training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(picked.hint("merge"), "doc_id").select("text", "toxic").dropDuplicates()
 
 
-def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float = 12.0, most: int = 400, firm: float = 0.1) -> Trie:
+def without_copies(rows: DataFrame) -> DataFrame:
+    """One row of each group of copies; near ones too, as most share their least three-word shingle."""
+    least_gram = F.array_min(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
+    return rows.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("gram", least_gram).dropDuplicates(["gram", "toxic"]).select("text", "toxic")
+
+
+def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float = 12.0, most: int = 400) -> Trie:
     """Seed terms, and the ``most`` best words and stems that ``odds`` times as many toxic as other rows have.
 
     Counted by document, in each partition first; ``least`` toxic rows, and ``share`` of them, must have it.  Of stems that
-    begin one another the shorter stays; a stem that is little more than one of the words goes.  Seed terms, and words that a
-    share of ``firm`` of the toxic rows has, are met in misspelled form too; rarer words often stem from a group of copies.
+    begin one another the shorter stays; a stem that is little more than one of the words goes.
+    All terms and stems are met in misspelled form too; ``trust`` and the weight of ``near`` say what that is worth.
     """
 
     def run(batches):
@@ -235,9 +273,7 @@ def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float =
         toxic.clear()
         clean.clear()
 
-    # Of copies, near ones too, most share their least three-word shingle, and count once.
-    least_gram = F.array_min(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
-    rows = rows.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("gram", least_gram).dropDuplicates(["gram", "toxic"]).select("text", "toxic")
+    rows = without_copies(rows)
     total = rows.groupBy("toxic").count().collect()
     t, n = (next((r["count"] for r in total if r.toxic == x), 0) for x in (True, False))
     found = rows.mapInArrow(run, "stem string, t long, n long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
@@ -250,7 +286,28 @@ def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float =
         if not any(s.startswith(x) for x in stems) and not any(w.startswith(s) and n >= 0.8 * rows_with[s] for w, n in words.items()):
             stems.append(s)
     terms = sorted({*SEED_TERMS, *(w for w in words if not any(w.startswith(s) for s in stems))})
-    return Trie(terms, stems, sorted({*SEED_TERMS, *(w for w in terms if words.get(w, 0) >= firm * t)}))
+    return Trie(terms, stems)
+
+
+def trust(rows: DataFrame, trie: Trie) -> list[float]:
+    """For each entry the lead of toxic over clean ones among the training rows with a misspelled form of it; copies count once.
+
+    Two rows in favour are added, so what the rows never show misspelled counts in full; 0 is the least.
+    """
+
+    def run(batches):
+        matcher, toxic, clean = Matcher(trie), Counter(), Counter()
+        for batch in batches:
+            for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = map(matcher.kind, set(_WORD.findall((text or "").lower())) - _QUOTES)
+                (toxic if bad else clean).update({entry for k, entry in found if k == 3 and entry >= 0})
+        keys = sorted(toxic.keys() | clean.keys())
+        columns = [keys, [toxic[k] for k in keys], [clean[k] for k in keys]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["entry", "t", "n"])
+
+    seen = without_copies(rows).mapInArrow(run, "entry long, t long, n long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
+    lead = {r.entry: max(0.0, (r.t + 2 - r.n) / (r.t + 2 + r.n)) for r in seen}
+    return [lead.get(i, 1.0) for i in range(len(trie.terms) + len(trie.stems))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -287,6 +344,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     ws = Workspace(spark, "toxicity")
     rows = ws.table(training(docs, labels, max_rows), "training")
     trie = lexicon(rows)
+    trie = Trie(trie.terms, trie.stems, trust(rows, trie))
     sample = _measured(rows, trie, ["toxic"]).collect()  # about max_rows rows of a few numbers
     if {r.toxic for r in sample} == {True, False}:
         w = fit(np.array([r.x for r in sample]), np.array([r.toxic for r in sample], float))

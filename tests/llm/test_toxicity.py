@@ -60,3 +60,24 @@ def test_odd_tables(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in train], "doc_id long, quality int, toxic int")
     got = toxicity.score(spark, spark.createDataFrame(train, "doc_id long, text string"), labels).collect()
     assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) >= 0.98 * len(got)
+
+
+def test_misspelled_learned_terms(spark):
+    m = toxicity.Matcher(toxicity.Trie(["idiot"], ["vequot"]))
+    assert m.features("veqoutte")[2] > 0 and m.features("vexotte")[2] == 0
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    terms = ["zq" + "".join(rng.choices("mnoprstuv", k=6)) for _ in range(20)]  # each in one toxic row of twenty
+    text = lambda *more: " ".join(rng.choices(words, k=30) + list(more))
+    train = [(i, text(*[terms[i // 3 % 20]] * 2 if i % 3 == 0 else [])) for i in range(900)]
+    swapped = [(1000 + k, text(*[t[:4] + t[5] + t[4] + t[6:]] * 2)) for k, t in enumerate(terms) if t[4] != t[5]]
+    plain = [(2000 + k, text()) for k in range(20)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in train], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark, spark.createDataFrame(train + swapped + plain, "doc_id long, text string"), labels).collect()}
+    assert sum(got[i] for i, _ in swapped) >= 0.9 * len(swapped) and sum(got[i] for i, _ in plain) == 0
+
+
+def test_misspelled_forms_count_by_their_rows(spark):
+    trie = toxicity.Trie(["idiot", "moron"], [])
+    rows = [(f"a{i} b{i} c{i} idoit", True) for i in range(4)] + [(f"d{i} e{i} f{i} maron", False) for i in range(4)]
+    assert toxicity.trust(spark.createDataFrame(rows, "text string, toxic boolean"), trie) == [1.0, 0.0]
