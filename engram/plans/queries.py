@@ -133,6 +133,18 @@ def vector_topk_batch(s, d):
     return retrieval.top_k_batch(s, load(s, d, "memories"), asked, 5).withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH hits AS (
+  SELECT concat('q', q.vec_id) AS query_id, m.id, {_cosine("m.embedding", "q.embedding")} AS score
+  FROM memories m CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE m.embedding IS NOT NULL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM hits)
+SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def vector_topk_batch_all(s, d):
+    """As vector_topk_batch; the queries grow with the table."""
+    asked = {f"q{r.vec_id}": list(r.embedding) for r in s.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
+    return retrieval.top_k_batch(s, load(s, d, "memories"), asked, 5).withColumn("score", F.round("score", 6))
+
+
 def _page_sql(rows: str, where: str = "true", lift: str = "0.0D", threshold: str = "-2.0D", limit: int = 10, offset: int = 0, columns: str = "id, score, weight, level, category") -> str:
     """Ranking in SQL on a relation with memory columns and score."""
     return f"""

@@ -39,3 +39,13 @@ def test_query(spark, db, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_batch_asks_for_all_fiftieths(spark, monkeypatch):
+    from engram.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)  # 40 queries at sf0.1: three blocks
+    d = "/root/testdata/sf0.1"
+    asked = {f"q{r.vec_id}" for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
+    rows = QUERIES["vector_topk_batch_all"](spark, d).collect()
+    assert len(asked) == 40 and {r.query_id for r in rows} == asked and len(rows) == 5 * len(asked)
