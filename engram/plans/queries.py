@@ -383,6 +383,33 @@ def validate_edges(s, d):
     return mutate.validate_edges(_wanted(s, d), load(s, d, "memories")).select("idx.l_orderkey", "idx.l_partkey", "error_code")
 
 
+def _all_wanted(s, d):
+    """All of lineitem as candidates; one id in six lies beyond the documents."""
+    n = s.read.parquet(f"{d}/documents.parquet").count() * 6 // 5
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    end = lambda c, name: F.concat(F.lit("mem_"), F.col(c) % n).alias(name)
+    return s.read.parquet(f"{d}/lineitem.parquet").select(key.alias("idx"), end("l_orderkey", "source_id"), end("l_partkey", "target_id"), F.col("l_discount").alias("weight"), F.col("l_returnflag").alias("relation"))
+
+
+_ALL_WANTED = """wanted AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, concat('mem_', l_orderkey % n) AS source_id,
+  concat('mem_', l_partkey % n) AS target_id, l_discount AS weight, l_returnflag AS relation FROM lineitem CROSS JOIN (SELECT count(*) * 6 // 5 AS n FROM documents))"""
+
+
+@query(f"""WITH {_ALL_WANTED},
+fresh AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, relation ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM wanted
+  WHERE source_id IN (SELECT id FROM memories) AND target_id IN (SELECT id FROM memories))
+SELECT source_id, target_id, relation, weight FROM fresh f WHERE r = 1
+AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = f.source_id AND e.target_id = f.target_id AND e.relation = f.relation)""")
+def insert_edges_all(s, d):
+    return mutate.insert_edges(load(s, d, "edges"), _all_wanted(s, d), load(s, d, "memories"), now()).select("source_id", "target_id", "relation", "weight")
+
+
+@query(f"""WITH {_ALL_WANTED} SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, l_partkey, CASE WHEN source_id = target_id THEN 'BAD_REQUEST'
+  WHEN source_id NOT IN (SELECT id FROM memories) OR target_id NOT IN (SELECT id FROM memories) THEN 'NOT_FOUND' END AS error_code FROM wanted""")
+def validate_edges_all(s, d):
+    return mutate.validate_edges(_all_wanted(s, d), load(s, d, "memories")).select("idx.l_orderkey", "idx.l_partkey", "error_code")
+
+
 # --- consolidation -------------------------------------------------------------------------------------------------
 
 

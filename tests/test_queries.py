@@ -49,3 +49,11 @@ def test_batch_asks_for_all_fiftieths(spark, monkeypatch):
     asked = {f"q{r.vec_id}" for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
     rows = QUERIES["vector_topk_batch_all"](spark, d).collect()
     assert len(asked) == 40 and {r.query_id for r in rows} == asked and len(rows) == 5 * len(asked)
+
+
+def test_edge_candidates_are_all_rows(spark):
+    rows = QUERIES["validate_edges_all"](spark, D).groupBy("error_code").count().collect()
+    n = {r.error_code: r["count"] for r in rows}
+    assert sum(n.values()) == spark.read.parquet(f"{D}/lineitem.parquet").count() and n["NOT_FOUND"] > 0 and n["BAD_REQUEST"] > 0 and n[None] > 0
+    big = QUERIES["validate_edges_all"](spark, "/root/testdata/sf0.1")
+    assert big.filter("error_code = 'NOT_FOUND'").count() > 0
