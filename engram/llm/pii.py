@@ -30,7 +30,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,200})")
+_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,}+)")
 #: Ten digits whose area and exchange can exist.
 _PLACED = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 _DIGIT = re.compile(r"[0-9]")

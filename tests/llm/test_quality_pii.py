@@ -127,3 +127,10 @@ def test_wide_phones_and_short_secrets_are_taken(spark):
     clean = {r.doc_id: r.text for r in pii.redact(spark, docs).collect() if r.doc_id < 100}
     assert [clean[i] for i in range(4)] == ["call [PHONE] now", "phone: [PHONE]", "password = [SECRET] x", "ref [PHONE] 12345 y"]
     assert clean[5] == texts[5] and clean[6] == texts[6]
+
+
+def test_long_secret_is_covered_whole(spark):
+    key = "Ab3-" * 75
+    docs = spark.createDataFrame([(1, f"token = {key} end")], "doc_id long, text string")
+    assert pii.find(spark, docs).first().spans == f"secret:8:{8 + len(key)}"
+    assert pii.redact(spark, docs).first().text == "token = [SECRET] end"
