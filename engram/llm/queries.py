@@ -40,9 +40,11 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{Workspace(spark, 'tokens').path}/flat"
-    tokencount.write(table(spark, sf_dir, "documents"), path)
-    return tokencount.count(spark, path)
+    ws, docs = Workspace(spark, "tokens"), table(spark, sf_dir, "documents")
+    where = ws.table(tokencount.places(docs), "places")
+    documents = tokencount.file_documents(where)
+    tokencount.write(docs, f"{ws.path}/flat", file_documents=documents)
+    return tokencount.placed(where, tokencount.count(spark, f"{ws.path}/flat"), documents)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

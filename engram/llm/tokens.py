@@ -24,14 +24,16 @@ class Encoder:
 
     If the same vocabulary lies beside it as ranks, ordinary texts take the faster library; texts that hold the string of a
     special token, or a long run without white space, always take ``tokenizers``.
+
+    plain: the string of a special token is text like any other, so no text can give a special token's id.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, plain: bool = False):
+        self.path, self.plain = path, plain
         with open(path, encoding="utf-8") as f:
             table = json.load(f)
         added = {t["content"]: t["id"] for t in table.get("added_tokens", [])}
-        self.special = tuple(added)
+        self.special = () if plain else tuple(added)
         self.size = max([*added.values(), *table["model"]["vocab"].values()]) + 1
         self.fast = None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
@@ -49,7 +51,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return Tokenizer.from_file(self.path)
+        if not self.plain:
+            return Tokenizer.from_file(self.path)
+        with open(self.path, encoding="utf-8") as f:
+            return Tokenizer.from_str(json.dumps(json.load(f) | {"added_tokens": []}))
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast and len(text) >= LONG_RUN and (_spaceless(text) or "  " * 50 in text):
@@ -74,6 +79,6 @@ def _spaceless(text: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One encoder a worker process, file and kind."""
+    return Encoder(path, plain)
