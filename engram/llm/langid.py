@@ -8,7 +8,8 @@ all pages; host priors are smoothed towards their domain's, and those towards th
 The text models come from labelled documents, about ``max_rows`` of them, chosen by hash of the id.  Long texts count as
 EVIDENCE trigrams at most, as neighbouring trigrams say much the same.
 
-Null pages, markup and addresses are empty and say nothing; without labelled documents there is no language and no row.
+Null pages, markup and addresses are empty and say nothing; without labelled documents every page's language is null.
+Repeated and null ids get a row each time; columns besides id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.workspace import Workspace, attach
+from engram.llm.workspace import Workspace, attach, bounded_sample
 
 TABLE_BITS, EVIDENCE, SMOOTH, PRIOR_WEIGHT = 16, 100.0, 0.5, 8.0
+SLICE = 1 << 14
 #: What a code is believed to say of its own language before any page is seen, in pages.
 HONEST = 5.0
 _OPEN = re.compile(r"(?i)<(script|style)\b")
@@ -67,8 +69,7 @@ def trigrams(text: str) -> np.ndarray:
 def text_models(docs: DataFrame, max_rows: int = 4000) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(trigram | language) [places, languages], from docs (doc_id, text, lang)."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    share = min(1.0, max_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = bounded_sample(known, max_rows, 9, "doc_id")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -110,7 +111,8 @@ def evidence(pages: DataFrame, models: np.ndarray, langs: list[str]) -> DataFram
                     host, domain, suffix, path = address(url or "")
                     m = _LANG.search(markup)
                     at = trigrams(visible(markup))
-                    ll = models[at].sum(axis=0, dtype=np.float64) * (EVIDENCE / (EVIDENCE + len(at)))
+                    # Slice by slice: a long page takes no more memory than a short one.
+                    ll = sum(models[at[k : k + SLICE]].sum(axis=0, dtype=np.float64) for k in range(0, max(1, len(at)), SLICE)) * (EVIDENCE / (EVIDENCE + len(at)))
                     ll -= ll.max()
                     out.append((host, domain, suffix, value(path), value(m[1].lower() if m else None), ll, _soft(ll)))
                 yield pa.record_batch([part.column(0), *[pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]], schema=schema)
@@ -122,20 +124,22 @@ def fuse(spark: SparkSession, pages: DataFrame, docs: DataFrame, max_rows: int =
     """id, lang, confidence, text_lang, declared, host of each row of pages (id, url, html)."""
     ws = Workspace(spark, "langid")
     langs, models = text_models(docs, max_rows)
-    if not langs:
-        return spark.createDataFrame([], "id long, lang string, confidence double, text_lang string, declared string, host string")
     each = range(len(langs))
     pages = pages.select(F.col("id").cast("long").alias("id"), "url", "html")
-    df = ws.table(evidence(pages, models, langs).withColumn("uid", F.monotonically_increasing_id()), "evidence")
-    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("p", F.lit(k))).alias(f"g{k}") for k in each]).first()
+    if not langs:
+        nothing = {"lang": "string", "confidence": "double", "text_lang": "string", "declared": "string", "host": "string"}
+        return pages.select("id", *[F.lit(None).cast(t).alias(k) for k, t in nothing.items()])
+    pieces = ws.table(evidence(pages, models, langs).withColumn("uid", F.monotonically_increasing_id()), "evidence")
+    total = pieces.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("p", F.lit(k))).alias(f"g{k}") for k in each]).first()
     n, mass = total.n, [total[f"g{k}"] or 0.0 for k in each]
     whole = [(m + 1) / (n + len(langs)) for m in mass]
+    df = pieces
     for level in ("host", "domain", "suffix"):
         df = attach(df, level, "uid", {f"{level}{k}": F.get("p", F.lit(k)) for k in each}, F.sum).withColumnRenamed("group_rows", f"{level}_n")
 
     def channel(name: str) -> list[Column]:
         """log P(value | language) of a column with few values, from its grouped soft counts; nothing where it is null."""
-        rows = df.filter(F.col(name).isNotNull()).groupBy(name).agg(*[F.sum(F.get("p", F.lit(k))).alias(f"s{k}") for k in each]).collect()
+        rows = pieces.filter(F.col(name).isNotNull()).groupBy(name).agg(*[F.sum(F.get("p", F.lit(k))).alias(f"s{k}") for k in each]).collect()
         values = len(langs) + 1
         sums = [sum(r[f"s{k}"] for r in rows) for k in each]
         out = []

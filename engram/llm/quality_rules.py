@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.workspace import Workspace
+from engram.llm.workspace import Workspace, bounded_sample
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Labelled rows that rules are learned from, about.
@@ -161,8 +161,7 @@ def decision(rules: list[Rule]) -> Column:
 def sampled(labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, bad of about max_rows labelled rows, chosen by hash of the id: few enough to broadcast."""
     labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
-    share = min(1.0, max_rows / max(1, labels.count()))
-    return labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return bounded_sample(labels, max_rows, 7, "doc_id")
 
 
 def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **kw) -> list[Rule]:

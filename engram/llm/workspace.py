@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+SAMPLE_BITS = 62
+#: Rows of a key that one task meets when a large row is fetched for them.
+EACH = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,13 +42,35 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{name}")
 
+    def end(self) -> None:
+        """Removes all tables; for when nothing lazy reads them any more."""
+        self._delete(self.path)
 
-def attach_min(df: DataFrame, key: str, value: str, mins: dict[str, Column], salts: int = 32) -> DataFrame:
+    def _delete(self, place: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sample_threshold(rows: int, max_rows: int) -> int:
+    """Hashes of SAMPLE_BITS bits below this belong to a sample of about ``max_rows`` of ``rows`` rows."""
+    return min(1 << SAMPLE_BITS, (max_rows << SAMPLE_BITS) // max(1, rows))
+
+
+def bounded_sample(rows: DataFrame, max_rows: int, seed: int, *key: str) -> DataFrame:
+    """About ``max_rows`` of the rows (all, if there are no more), chosen by hash of ``key``; never none of some."""
+    n = rows.count()
+    if n <= max_rows:
+        return rows
+    picked = rows.filter(F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)) < F.lit(sample_threshold(n, max_rows)))
+    if picked.isEmpty():
+        raise ValueError(f"a sample of {max_rows} of {n} labelled rows is empty")
+    return picked
+
+
+def attach_min(df: DataFrame, key: str, value: str, mins: dict[str, Column], salts: int | None = None) -> DataFrame:
     """Adds to each row the minimum of each of ``mins`` over the rows of its key, and ``group_rows``.
 
     Keys that no two rows share get nulls and ``group_rows`` null.
@@ -53,12 +78,14 @@ def attach_min(df: DataFrame, key: str, value: str, mins: dict[str, Column], sal
     return attach(df, key, value, mins, F.min, salts, 2)
 
 
-def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, salts: int = 32, least: int = 1) -> DataFrame:
+def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, salts: int | None = None, least: int = 1) -> DataFrame:
     """Adds to each row ``how`` (F.min, F.sum) of each expression over the rows of its key, and ``group_rows``.
 
     A key may hold any share of the rows: rows are dealt by key and a salt from ``value``, taken together by salt first, and
-    the result goes back by salt.  Keys of fewer than ``least`` rows, and null keys, get nulls.
+    the result goes back by salt.  There are as many salts as shuffle partitions (32 at least), so a key that holds all rows
+    gives a task no more than its share.  Keys of fewer than ``least`` rows, and null keys, get nulls.
     """
+    salts = salts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
     part = df.filter(F.col(key).isNotNull()).groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"), *[how(c).alias(k) for k, c in mins.items()])
     whole = part.groupBy(key).agg(F.sum("_n").alias("group_rows"), F.collect_list("_salt").alias("_salts"), *[how(k).alias(k) for k in mins])
@@ -66,6 +93,17 @@ def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, sa
     return df.join(whole, [key, "_salt"], "left").drop("_salt")
 
 
+def fetched(rows: DataFrame, key: str, other: str, table: DataFrame, each: int = EACH) -> DataFrame:
+    """rows with the columns of the row of ``table`` that has the same ``key`` (at most one); inner join.
+
+    A key may stand in any share of the rows: its rows are dealt by a salt from ``other``, about ``each`` to a salt, and the row
+    of the table is copied once a salt.  Keys with few rows are not copied.
+    """
+    dealt = attach(rows, key, other, {}, F.min).withColumn("_of", F.ceil(F.col("group_rows") / each)).drop("group_rows").withColumn("_s", F.pmod(F.xxhash64(other), F.col("_of")).cast("int"))
+    needed = dealt.groupBy(key).agg(F.max("_of").alias("_of")).join(table, key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1))).drop("_of")
+    return dealt.drop("_of").join(needed, [key, "_s"]).drop("_s")
+
+
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): for each id of the edge list (a, b), the smallest id that it reaches.
 

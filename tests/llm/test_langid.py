@@ -2,9 +2,12 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import langid
 from engram.llm.queries import QUERIES
+from engram.llm.workspace import bounded_sample, sample_threshold
 
 
 def plain(pages, langs, models):
@@ -72,7 +75,20 @@ def test_odd_pages(spark):
     assert len(rows) == 6 and got[3].lang == "de" and {r.lang for r in rows if r.id == 5} == {"en", "de"}
     assert all(0 < r.confidence <= 1 for r in rows)
     assert langid.fuse(spark, df.limit(0), docs).count() == 0
-    assert langid.fuse(spark, df, docs.limit(0)).count() == 0
+    clash = df.withColumn("lang", F.lit("xx")).withColumn("host", F.lit(1)).withColumn("p", F.lit(1))
+    assert sorted(map(str, langid.fuse(spark, clash, docs.withColumn("place", F.lit(1))).collect())) == sorted(map(str, rows))
+    nothing = langid.fuse(spark, df, docs.limit(0)).collect()
+    assert len(nothing) == 6 and all(r.lang is None for r in nothing)
+
+
+def test_samples_of_very_large_tables(spark):
+    for n in (1, 4000, 10**6, 10**11, 10**15):
+        share = sample_threshold(n, 4000) / 2**62
+        assert share == min(1, 4000 / n) or abs(share * n / 4000 - 1) < 1e-2
+    rows = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    assert 3400 < bounded_sample(rows, 4000, 9, "doc_id").count() < 4600 and bounded_sample(rows.limit(50), 50, 9, "doc_id").count() == 50
+    with pytest.raises(ValueError):
+        bounded_sample(rows, 0, 9, "doc_id")
 
 
 def test_visible_text():
