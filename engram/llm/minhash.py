@@ -1,13 +1,15 @@
 """Near-duplicate detection by b-bit MinHash.
 
 Signatures keep the low ``BITS`` bits of ``BANDS * ROWS`` minima, packed; band keys come from the whole minima.  Documents
-with equal shingle sets form a class, and only its smallest id goes on.  Candidate pairs are scored by bit counts,
-corrected for chance collisions, and those within five standard errors of the threshold are confirmed on full sets.
+with equal shingle sets form a class, and only one row of it goes on.  Candidate pairs are scored by bit counts,
+corrected for chance collisions, and those within ERRORS standard errors of the threshold are confirmed on full sets.
 
 A bucket is never expanded into all its pairs: its rows are first held against two pivots; what that joins is contracted,
-and only rows of different components still meet, in bounded blocks, inside one operator.
+and only rows of different components still meet, in bounded blocks that are dealt to tasks by salt.
 
-Nulls and texts without words have empty sets, are linked with nothing and stand for themselves.  A null id is ignored.
+Nulls and texts without words have empty sets, are linked with nothing and stand for themselves.  Rows go by a number of their
+own: rows that share an id are one vertex, linked with whatever any of their texts is near to.  A null id is no vertex: its row
+comes back with a null component and is kept.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.textcore import U, Words, cut, mix, pieces, stream
-from engram.llm.workspace import Workspace, attach_min, components
+from engram.llm.workspace import Workspace, attach_min, components, fetched
 
 BANDS, ROWS, BITS = 40, 6, 4
 BLOCK = 128
+#: Blocks of a bucket that one task holds against each other block.
+SPAN = 32
 SKETCH = 1024
+#: A pair is turned down by an estimate only if that is so many standard errors below the threshold: a chance of 4e-11 for a
+#: pair at the threshold, far less than that of no shared band.
+ERRORS = 6.5
 _MUL = stream(101, BANDS * ROWS) | U(1)
 _ADD = stream(103, BANDS * ROWS)
 _SEEDS = stream(107, BANDS)
@@ -73,17 +80,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cutoff(threshold: float) -> float:
-    """Five standard errors of the estimate below the threshold."""
-    return threshold - 5 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5 / (1 - 0.5**BITS)
+    """ERRORS standard errors of the estimate below the threshold."""
+    return threshold - ERRORS * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5 / (1 - 0.5**BITS)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig, bands for (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, th (hash of the text), n_shingles, set_key, sig, bands for (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, hashes, texts = batch.columns
             for low, high, buf, bounds in pieces(texts):
                 out, seen = [], {}
                 for s in shingle_sets(cut(buf, bounds, lower=True), size):
@@ -95,13 +102,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         m = minima(s)
                         seen[key] = (len(s), key, pack(m), band_keys(m))
                     out.append(seen[key])
-                yield pa.record_batch([ids.slice(low, high - low), *[pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]], schema=schema)
+                yield pa.record_batch([ids.slice(low, high - low), hashes.slice(low, high - low), *[pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), list(schema)[2:], strict=True)]], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return keyed.mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """uid, shingles for (uid, text)."""
+    schema = pa.schema([("uid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -109,14 +118,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(cut(buf, bounds, lower=True), size)]
                 yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array(sets, schema[1].type)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return rows.mapInArrow(run, "uid long, shingles array<long>")
 
 
 def _estimated(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and bit counts allow the similarity."""
     least = cutoff(percent / 100)
-    x, y = (cards.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-    sized = pairs.join(x, "a").join(y, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    x, y = (cards.select(F.col("uid").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    sized = fetched(fetched(pairs, "a", "b", x), "b", "a", y).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches):
         for t in batches:
@@ -130,8 +139,8 @@ def _estimated(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets reach the similarity."""
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    x, y = (sets.select(F.col("uid").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    both = fetched(fetched(pairs, "a", "b", x), "b", "a", y).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return both.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
@@ -145,22 +154,27 @@ def _sketched(a: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray
     equal = inside & (a[np.minimum(at, len(a) - 1)] == flat)
     shared = np.bincount(owner[equal], minlength=len(others))
     union = np.bincount(owner[inside], minlength=len(others)) + np.searchsorted(a, end, "right") - shared
-    slack = np.where(end < far, 500 * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(union, 1)), 0)
+    slack = np.where(end < far, 100 * ERRORS * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(union, 1)), 0)
     return 100 * shared >= (percent - slack) * union
 
 
 def _crossing(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of one bucket and different components that the estimate admits; best: for each row only the best of a block.
 
-    rows: key, doc_id, component, n_shingles, sig, least, group_rows, low (the bucket's first component).  Rows outside that
-    component meet all others in blocks of at most about BLOCK rows.  ``least`` holds the SKETCH smallest shingles (32 bits of each): all of them
-    for most documents, so that hardly any pair is emitted that the confirmation then turns down.
+    rows: key, uid, component, n_shingles, sig, least, group_rows, low (the bucket's first component).  Rows outside that
+    component meet all others in blocks of about BLOCK rows, and SPAN blocks of the others in a task.  ``least`` holds the
+    SKETCH smallest shingles (31 bits of each): all of them for most documents, so that hardly any pair is emitted that the
+    confirmation then turns down.
     """
     least = cutoff(percent / 100)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_rows") / BLOCK)).cast("int"))
-    packed = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sig", "least"))
-    few = rows.filter("component <> low").groupBy("key", "block").agg(packed.alias("few")).drop("block")
-    many = rows.groupBy("key", "block").agg(packed.alias("many")).drop("block")
+    blocks = F.ceil(F.col("group_rows") / BLOCK)
+    spans = F.ceil(blocks / SPAN).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("spans", spans)
+    packed = F.collect_list(F.struct("uid", "component", "n_shingles", "sig", "least"))
+    few = rows.filter("component <> low").groupBy("key", "block").agg(packed.alias("few"), F.first("spans").alias("spans"))
+    few = few.select("key", "few", F.explode(F.sequence(F.lit(0), F.col("spans") - 1)).alias("span"))
+    many = rows.groupBy("key", "block").agg(packed.alias("many"), F.first("spans").alias("spans"))
+    many = many.select("key", "many", F.pmod("block", "spans").alias("span"))
 
     def columns(x):
         return (np.asarray(x.field(i)) for i in range(3)), np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(x), -1), [np.asarray(v) for v in (x.field(4)[i].values for i in range(len(x)))]
@@ -187,44 +201,52 @@ def _crossing(rows: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return few.join(many, "key").select("few", "many").mapInArrow(run, "a long, b long").distinct()
+    return few.join(many, ["key", "span"]).select("few", "many").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents linked at Jaccard >= percent / 100.
 
-    docs needs doc_id and text; other columns are ignored.  Repeated ids count as one class of their texts.
+    docs needs doc_id and text; other columns are ignored.  Each row of docs gives a row.
     """
     ws = Workspace(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    feats = ws.table(signatures(docs, shingle_words), "features")
-    classed = attach_min(feats.select("doc_id", "n_shingles", "set_key"), "set_key", "doc_id", {"rep": F.col("doc_id")})
-    classed = ws.table(classed.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    cards = ws.table(feats.filter("n_shingles > 0").join(classed.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "cards")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    feats = ws.table(signatures(docs, shingle_words).withColumn("uid", F.monotonically_increasing_id()), "features")
+    # The row of a class that goes on has the smallest id; ids are nodes' names at the end only.
+    first = attach_min(feats.filter("doc_id is not null").select("uid", "doc_id", "n_shingles", "set_key"), "set_key", "uid", {"first": F.struct("doc_id", "uid")})
+    classed = ws.table(first.select("uid", "doc_id", "n_shingles", F.coalesce("first.uid", "uid").alias("rep")), "classes")
+    cards = ws.table(feats.filter("n_shingles > 0").join(classed.filter("uid = rep").select("uid"), "uid", "left_semi"), "cards")
+    nameless = ws.table(feats.filter("doc_id is null").select("doc_id", "n_shingles"), "nameless")
     ws.drop("features")
 
-    banded = cards.select("doc_id", F.explode("bands").alias("key"))
-    pivots = attach_min(banded, "key", "doc_id", {"p": F.col("doc_id"), "q": F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))}).filter("group_rows > 1")
-    buckets = ws.table(pivots.select("key", "doc_id", "group_rows", "p", F.col("q.d").alias("q")), "buckets")
-    pairs = buckets.select("doc_id", F.explode(F.array("p", "q")).alias("x")).filter("doc_id <> x").select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    slim = cards.select("doc_id", "n_shingles", "sig")
+    banded = cards.select("uid", F.explode("bands").alias("key"))
+    pivots = attach_min(banded, "key", "uid", {"p": F.col("uid"), "q": F.struct(F.xxhash64("uid").alias("h"), F.col("uid").alias("d"))}).filter("group_rows > 1")
+    buckets = ws.table(pivots.select("key", "uid", "group_rows", "p", F.col("q.d").alias("q")), "buckets")
+    pairs = buckets.select("uid", F.explode(F.array("p", "q")).alias("x")).filter("uid <> x").select(F.least("uid", "x").alias("a"), F.greatest("uid", "x").alias("b")).distinct()
+    slim = cards.select("uid", "n_shingles", "sig")
     tried = ws.table(_estimated(pairs, slim, percent), "pairs")
-    # The hint keeps one plan at every size: without it, small inputs are broadcast and large ones are not.
-    met = docs.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = ws.table(_sets(met.select("doc_id", "text"), shingle_words), "sets")
-    links = ws.table(_confirmed(tried, sets, percent), "links")
+    # A row's text is read again by its id and hash.  The hint keeps one plan at every size: without it, small inputs are
+    # broadcast and large ones are not.
+    known = cards.select("doc_id", "th", "uid").join(buckets.select("uid").distinct(), "uid", "left_semi")
+    met = docs.withColumn("th", F.xxhash64("text")).join(known.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    sets = ws.table(_sets(met.select("uid", "text"), shingle_words), "sets")
+    named = attach_min(classed.filter("n_shingles > 0"), "doc_id", "uid", {"one": F.col("rep")}).filter("one <> rep").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct()
+    links = ws.table(_confirmed(tried, sets, percent).unionByName(named), "links")
     found = components(ws, links, "components-0")
     # Once with the best partners only, which joins most of what belongs together; then with all that are still apart.
     for turn, best in ((1, True), (2, False)):
-        labelled = buckets.select("key", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = attach_min(labelled, "key", "doc_id", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
+        labelled = buckets.select("key", "uid").join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        mixed = attach_min(labelled, "key", "uid", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
         mixed = ws.table(mixed, f"mixed-{turn}")
-        sketch = sets.select("doc_id", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 32)).alias("least"))
-        rows = mixed.join(slim, "doc_id").join(sketch, "doc_id")
+        sketch = sets.select("uid", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("least"))
+        rows = mixed.join(slim, "uid").join(sketch, "uid")
         rest = ws.table(_crossing(rows, percent, best).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         more = ws.table(_confirmed(rest, sets, percent), f"links-{turn}")
+        ws.drop(f"mixed-{turn}")
         tried, links = tried.unionByName(rest), links.unionByName(more)
         found = components(ws, links, f"components-{turn}")
 
-    joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return joined.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    named = attach_min(joined, "component", "uid", {"least": F.col("doc_id")}).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    both = named.unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -93,13 +93,13 @@ def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, sa
     return df.join(whole, [key, "_salt"], "left").drop("_salt")
 
 
-def fetched(rows: DataFrame, key: str, other: str, table: DataFrame, each: int = EACH) -> DataFrame:
+def fetched(rows: DataFrame, key: str, other: str, table: DataFrame, each: int | None = None) -> DataFrame:
     """rows with the columns of the row of ``table`` that has the same ``key`` (at most one); inner join.
 
-    A key may stand in any share of the rows: its rows are dealt by a salt from ``other``, about ``each`` to a salt, and the row
+    A key may stand in any share of the rows: its rows are dealt by a salt from ``other``, about ``each`` (EACH) to a salt, and the row
     of the table is copied once a salt.  Keys with few rows are not copied.
     """
-    dealt = attach(rows, key, other, {}, F.min).withColumn("_of", F.ceil(F.col("group_rows") / each)).drop("group_rows").withColumn("_s", F.pmod(F.xxhash64(other), F.col("_of")).cast("int"))
+    dealt = attach(rows, key, other, {}, F.min).withColumn("_of", F.ceil(F.col("group_rows") / (each or EACH))).drop("group_rows").withColumn("_s", F.pmod(F.xxhash64(other), F.col("_of")).cast("int"))
     needed = dealt.groupBy(key).agg(F.max("_of").alias("_of")).join(table, key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1))).drop("_of")
     return dealt.drop("_of").join(needed, [key, "_s"]).drop("_s")
 

@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from engram.llm import minhash, workspace
 from engram.llm.minhash import near_duplicates
 from engram.llm.queries import QUERIES
 
@@ -53,6 +55,48 @@ def test_groups_of_near_copies(spark, size, percent):
     assert rows(near_duplicates(spark, df, size, percent)) == brute(docs, size, percent)
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    a, b = ([f"w{rng.randrange(900)}" for _ in range(300)] for _ in range(2))
+    near = lambda w, k: " ".join(w[:k] + ["changed"] + w[k + 1 :])
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 50)), (3, near(b, 50)), (1, " ".join(a)), (None, " ".join(a)), (None, None), (7, None), (7, "one word")]
+    for rows_ in (docs, docs[::-1]):
+        got = near_duplicates(spark, spark.createDataFrame(rows_, "doc_id long, text string").withColumn("uid", F.lit(0)), 3, 85).collect()
+        kinds = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str)
+        assert kinds == sorted([(1, 298, 1, True)] * 3 + [(2, 298, 1, False), (3, 298, 1, False), (None, 298, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 1, 7, True)], key=str)
+    # An id whose texts belong to two groups joins them under the smallest id, whatever its own is.
+    moved = [(5, docs[0][1]), (5, docs[1][1]), *docs[2:4]]
+    got = near_duplicates(spark, spark.createDataFrame(moved, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 2), (5, 2), (5, 2)]
+
+
+def test_hot_bucket_in_many_tasks(spark, monkeypatch):
+    """Documents of one template that are near to few others: one bucket, dealt to several tasks, loses no link."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SPAN", 2)
+    monkeypatch.setattr(workspace, "EACH", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    docs, k = {}, 0
+    for _ in range(25):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(25)]
+        for _ in range(4):
+            w = base + own
+            for _ in range(rng.randrange(1, 4)):
+                w = [*w[:205], *w[205:-1], f"x{rng.randrange(10**6)}"]
+            docs[k] = " ".join(w)
+            k += 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert rows(near_duplicates(spark, df, 3, 90)) == brute(docs, 3, 90)
+
+
+def test_fetched_deals_hot_keys(spark):
+    pairs = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+    table = spark.range(990).select(F.col("id").alias("a"), (F.col("id") * 2).alias("v"))
+    got = workspace.fetched(pairs, "a", "b", table, 50)
+    assert {(r.a, r.b, r.v) for r in got.collect()} == {(0 if i < 900 else i, i, 0 if i < 900 else 2 * i) for i in range(990)} and got.count() == 990
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert rows(QUERIES["op8_minhash"](spark, sf_dir)) == brute(docs, 3, 85)
