@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.textcore import U, Words, cut, mix, pieces, stream
-from engram.llm.workspace import Workspace, attach_min, components, fetched
+from engram.llm.workspace import Workspace, attach_min, components, dealt, fetched
 
 BANDS, ROWS, BITS = 40, 6, 4
 BLOCK = 128
@@ -122,10 +122,10 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bit counts allow the similarity."""
+    """Of dealt pairs (a, b), those whose sizes and bit counts allow the similarity."""
     least = cutoff(percent / 100)
     x, y = (cards.select(F.col("uid").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-    sized = fetched(fetched(pairs, "a", "b", x), "b", "a", y).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    sized = fetched(fetched(pairs, pairs, "a", x), pairs, "b", y).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches):
         for t in batches:
@@ -137,10 +137,11 @@ def _estimated(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets reach the similarity."""
+def _confirmed(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity."""
+    pairs = dealt(ws, pairs, name, "a", "b")
     x, y = (sets.select(F.col("uid").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = fetched(fetched(pairs, "a", "b", x), "b", "a", y).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    both = fetched(fetched(pairs, pairs, "a", x), pairs, "b", y).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return both.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
@@ -224,14 +225,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
     buckets = ws.table(pivots.select("key", "uid", "group_rows", "p", F.col("q.d").alias("q")), "buckets")
     pairs = buckets.select("uid", F.explode(F.array("p", "q")).alias("x")).filter("uid <> x").select(F.least("uid", "x").alias("a"), F.greatest("uid", "x").alias("b")).distinct()
     slim = cards.select("uid", "n_shingles", "sig")
-    tried = ws.table(_estimated(pairs, slim, percent), "pairs")
+    tried = ws.table(_estimated(dealt(ws, pairs, "met", "a", "b"), slim, percent), "pairs")
     # A row's text is read again by its id and hash.  The hint keeps one plan at every size: without it, small inputs are
     # broadcast and large ones are not.
     known = cards.select("doc_id", "th", "uid").join(buckets.select("uid").distinct(), "uid", "left_semi")
     met = docs.withColumn("th", F.xxhash64("text")).join(known.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     sets = ws.table(_sets(met.select("uid", "text"), shingle_words), "sets")
     named = attach_min(classed.filter("n_shingles > 0"), "doc_id", "uid", {"one": F.col("rep")}).filter("one <> rep").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct()
-    links = ws.table(_confirmed(tried, sets, percent).unionByName(named), "links")
+    links = ws.table(_confirmed(ws, tried, sets, percent, "first").unionByName(named), "links")
     found = components(ws, links, "components-0")
     # Once with the best partners only, which joins most of what belongs together; then with all that are still apart.
     for turn, best in ((1, True), (2, False)):
@@ -241,7 +242,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
         sketch = sets.select("uid", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("least"))
         rows = mixed.join(slim, "uid").join(sketch, "uid")
         rest = ws.table(_crossing(rows, percent, best).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        more = ws.table(_confirmed(rest, sets, percent), f"links-{turn}")
+        more = ws.table(_confirmed(ws, rest, sets, percent, f"more-{turn}"), f"links-{turn}")
         ws.drop(f"mixed-{turn}")
         tried, links = tried.unionByName(rest), links.unionByName(more)
         found = components(ws, links, f"components-{turn}")

@@ -4,27 +4,30 @@ Every document is parsed against reference blocks from all documents with smalle
 the run of WINDOW-word windows that have the same minimal GRAM-word hash.  The choice depends on a window's words only, so
 equal windows always meet at equal anchors, and only about one word in twenty is an anchor.
 
-1. Index: distinct (anchor, block) of each document; anchors of one document only drop out.
-2. Whole blocks: a block that a smaller id has too is a copy from there.
-3. Boundaries: where an anchor has several blocks (a shared passage ends, or was edited inside), the first document of each
-   block gives the block's windows, and those that a smaller id has are copies as well.
-4. Parse: greedily, from left to right, the longest copies become factors; as a factor ends, windows across its end are
-   looked at too, so what two copies cover together is found whole.
+1. Index: (anchor, block, place) of each document; anchors of one document only drop out.
+2. Look-up: a block that a smaller id has too gives a hit, its place here and its first place there.  Where an anchor has
+   several blocks (a shared passage ends, or was edited inside), the first document of each block gives the block's windows,
+   and those that a smaller id has are hits as well.
+3. Extension: with both texts at hand, each hit grows word by word in both directions, as far as the documents agree.  Of each
+   reference the matches that a parse against it alone takes go on, their words compared byte by byte.
+4. Parse: from left to right, the match that reaches farthest becomes a factor, and the parse goes on behind it.  A match
+   that began before a factor's end counts from there, so what two copies cover together is found whole.
 
 A null text is empty.  A null id is never smaller nor larger than another: nothing is removed.  Rows that share an id are not
-held against each other.
+held against each other.  Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.textcore import CHUNK_BYTES, Words, cut, mix, pieces
-from engram.llm.workspace import Workspace, attach_min
+from engram.llm.textcore import CHUNK_BYTES, Words, cut, mix
+from engram.llm.workspace import Workspace, attach_min, dealt, fetched
 
 WINDOW, GRAM = 50, 8
 
@@ -60,22 +63,21 @@ def blocks(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.n
     return low, high, grams[anchor].view(np.int64), block.view(np.int64)
 
 
-def _index(docs: DataFrame, window: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64())])
+def _index(texts: DataFrame, window: int) -> DataFrame:
+    """uid, doc_id, at, n, anchor, block: each block of each text (uid, doc_id, z), from word ``at``, of n windows."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("block", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for first, _, buf, bounds in pieces(batch.column(1)):
-                w = cut(buf, bounds)
-                low, _, anchor, block = blocks(w, window)
+            ids, names = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for rows, w in _texts(batch.column(2)):
+                low, high, anchor, block = blocks(w, window)
                 doc = np.searchsorted(w.first, low, "right") - 1
-                order = np.lexsort((block, doc))
-                doc, anchor, block = doc[order], anchor[order], block[order]
-                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]) if len(doc) else np.zeros(0, bool)
-                yield pa.record_batch([pa.array(ids[first + doc[new]]), pa.array(anchor[new]), pa.array(block[new])], schema=schema)
+                at = (low - w.first[doc]).astype(np.int32)
+                columns = ids[rows.start + doc], names[rows.start + doc], at, (high - low + 1).astype(np.int32), anchor, block
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, anchor long, block long")
+    return texts.filter("doc_id is not null").select("uid", "doc_id", "z").mapInArrow(run, "uid long, doc_id long, at int, n int, anchor long, block long")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -92,123 +94,163 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def _texts(column: pa.Array, size: int = CHUNK_BYTES):
-    """Row ranges of about ``size`` bytes of unpacked text: low, Words."""
+def _texts(*columns: pa.Array, size: int = CHUNK_BYTES):
+    """Row ranges of about ``size`` bytes of unpacked texts: range, and Words of each column."""
     unpack = zstandard.ZstdDecompressor().decompress
-    low, held, total = 0, [], 0
-    n = len(column)
+    low, total, held = 0, 0, [[] for _ in columns]
+    n = len(columns[0])
     for i in range(n):
-        held.append(unpack(column[i].as_py()))
-        total += len(held[-1])
+        for h, c in zip(held, columns, strict=True):
+            h.append(unpack(c[i].as_py()))
+            total += len(h[-1])
         if total >= size or i == n - 1:
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-            yield low, cut(np.frombuffer(b"".join(held), np.uint8), bounds)
-            low, held, total = i + 1, [], 0
+            yield range(low, i + 1), *[cut(np.frombuffer(b"".join(h), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in h])])) for h in held]
+            low, total, held = i + 1, 0, [[] for _ in columns]
 
 
 def _boundary_windows(open_blocks: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, win: distinct hashes of the windows of the open blocks (doc_id, block)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("win", pa.int64())])
-    listed = open_blocks.groupBy("doc_id").agg(F.collect_set("block").alias("open"))
+    """uid, doc_id, at, win: place and hash of each window of the open blocks (uid, at, n)."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("win", pa.int64())])
+    listed = open_blocks.groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("open"))
 
     def run(batches):
         for batch in batches:
-            ids, lists = np.asarray(batch.column(0)), batch.column(2)
-            for first, w in _texts(batch.column(1)):
-                low, high, _, block = blocks(w, window)
+            ids, names, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+            for rows, w in _texts(batch.column(2)):
                 grams, _ = w.grams(window)
-                doc = np.searchsorted(w.first, low, "right") - 1
-                for d in range(len(w.first) - 1):
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    own = a + np.flatnonzero(np.isin(block[a:b], np.asarray(lists[first + d].values)))
-                    if len(own):
-                        at = np.concatenate([np.arange(low[k], high[k] + 1) for k in own])
-                        wins = np.unique(grams[at].view(np.int64))
-                        yield pa.record_batch([pa.array(np.full(len(wins), ids[first + d])), pa.array(wins)], schema=schema)
+                own = lists.slice(rows.start, len(rows))
+                flat, owner = own.flatten(), np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(own)))
+                low, n = np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1)).astype(np.int64)
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                doc = np.repeat(owner, n)
+                columns = ids[rows.start + doc], names[rows.start + doc], at.astype(np.int32), grams[w.first[doc] + at].view(np.int64)
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.join(listed.hint("merge"), "uid").select("uid", "doc_id", "z", "open").mapInArrow(run, "uid long, doc_id long, at int, win long")
+
+
+def reach(equal, length: np.ndarray) -> np.ndarray:
+    """For each pair of places the largest length for which they agree; equal(k): whether they do over k words."""
+    low, high = np.zeros_like(length), length.copy()
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = equal(middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
+
 
-    joined = texts.join(listed.hint("merge"), "doc_id").select("doc_id", "z", "open")
-    return joined.mapInArrow(run, "doc_id long, win long")
+def extended(w: Words, r: Words, row: np.ndarray, at: np.ndarray, there: np.ndarray, window: int) -> np.ndarray:
+    """Rows (document, start, end, start there) of the longest runs of words around the hits, each once.
+
+    Hits are places ``at`` in document ``row`` of w and ``there`` in document ``row`` of r; what does not hold is left out.
+    """
+    a, b = w.first[row] + at, r.first[row] + there
+    x, y = w.ranges(), r.ranges()
+    on = reach(lambda k: x(a, a + k) == y(b, b + k), np.minimum(w.first[row + 1] - a, r.first[row + 1] - b))
+    back = reach(lambda k: x(a - k, a) == y(b - k, b), np.minimum(at, there))
+    found = np.stack([row, at - back, at + on, there - back], axis=1)
+    return np.unique(found[on + back >= window], axis=0)
 
 
-def factors(copies: np.ndarray, refs: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(start, length, reference) of the factors that the copied windows (starts, ascending, and references) make.
+def parsed(matches: list[tuple]) -> list[tuple]:
+    """The greedy parse by matches (start, end, ...) sorted by start: (from, match) of each factor, which goes to the match's end.
 
-    A factor goes on as long as windows follow each other without a gap in the words; what lies beyond its end but in a
-    window across that end opens the next factor there.
+    At each place the match that reaches farthest is taken (the first of several); where none lies, the next start is next.
     """
-    out, end = [], 0
-    k = 0
-    while k < len(copies):
-        j = k
-        while j + 1 < len(copies) and copies[j + 1] == copies[j] + 1 and refs[j + 1] == refs[k]:
-            j += 1
-        start, stop = max(end, int(copies[k])), int(copies[j]) + window
-        if stop > start:
-            out.append((start, stop - start, int(refs[k])))
-            end = stop
-        k = j + 1
-    return out
+    out, place, k, best = [], 0, 0, None
+    while True:
+        while k < len(matches) and matches[k][0] <= place:
+            if best is None or matches[k][1] > best[1]:
+                best = matches[k]
+            k += 1
+        if best is not None and best[1] > place:
+            out.append((place, best))
+            place = best[1]
+        elif k < len(matches):
+            place = matches[k][0]
+        else:
+            return out
+
+
+def _same(w: Words, raw: bytes, a: int, b: int, r: Words, raw_r: bytes, c: int) -> bool:
+    """Whether the words a:b of w and those of r from c on are the same bytes."""
+    d = c + b - a
+    if raw[w.starts[a] : w.ends[b - 1]] == raw_r[r.starts[c] : r.ends[d - 1]]:
+        return True
+    one, two = zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True), zip(r.starts[c:d].tolist(), r.ends[c:d].tolist(), strict=True)
+    return all(raw[i:j] == raw_r[k:m] for (i, j), (k, m) in zip(one, two, strict=True))
+
+
+_MATCH = "uid long, start int, stop int, reference long, reference_start int"
+
+
+def _matches(met: DataFrame, window: int) -> DataFrame:
+    """Matches of each text with one reference: rows (uid, reference, hits, z, rz)."""
+    schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in _MATCH.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            ids, names, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for rows, w, r in _texts(batch.column(3), batch.column(4)):
+                own = lists.slice(rows.start, len(rows))
+                flat, row = own.flatten(), np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(own)))
+                found = extended(w, r, row, np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1)).astype(np.int64), window)
+                raw, raw_r, out = w.buf.tobytes(), r.buf.tobytes(), []
+                edges = np.searchsorted(found[:, 0], np.arange(len(rows) + 1))
+                for d in range(len(rows)):
+                    for _, (a, b, c) in parsed([tuple(m) for m in found[edges[d] : edges[d + 1], 1:].tolist()]):
+                        if _same(w, raw, int(w.first[d]) + a, int(w.first[d]) + b, r, raw_r, int(r.first[d]) + c):
+                            out.append((ids[rows.start + d], a, b, names[rows.start + d], c))
+                if out:
+                    yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return met.select("uid", "reference", "hits", "z", "rz").mapInArrow(run, _MATCH)
 
 
 def parse(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (words left, joined by one space), factors (start, length, reference id) of each row."""
+    """doc_id, n_words, n_removed, kept (words left, joined by one space), factors of each row.
+
+    A factor (start, length, reference, reference_start): these words stand in the text of that smaller id from that word on.
+    """
     ws = Workspace(spark, "rlz")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = ws.table(_index(docs, window), "index")
+    squeezed = _squeezed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("uid", F.monotonically_increasing_id())
+    texts = ws.bucketed(squeezed, "texts", "uid")
+    index = ws.table(_index(texts, window), "index")
     ends = {"first": F.col("doc_id"), "last": -F.col("doc_id"), "least": F.col("block"), "most": F.bitwise_not("block")}
-    met = attach_min(index, "anchor", "doc_id", ends).filter("group_rows > 1 and first <> -last")
-    met = ws.table(met.select("doc_id", "block", (F.col("least") != F.bitwise_not("most")).alias("several")), "met")
+    met = attach_min(index, "anchor", "uid", ends).filter("group_rows > 1 and first <> -last")
+    met = ws.table(met.select("uid", "doc_id", "at", "n", "block", (F.col("least") != F.bitwise_not("most")).alias("several")), "met")
     ws.drop("index")
-    seen = ws.table(attach_min(met, "block", "doc_id", {"first": F.col("doc_id")}).select("doc_id", "block", "several", F.coalesce("first", "doc_id").alias("first")), "seen")
+    first = F.struct("doc_id", "uid", "at")
+    seen = attach_min(met, "block", "uid", {"first": first}).select("uid", "doc_id", "at", "n", "several", F.coalesce("first", first).alias("first"))
+    seen = ws.table(seen, "seen")
     ws.drop("met")
-    whole = seen.filter("first < doc_id").select("doc_id", F.col("block").alias("h"), "first", F.lit(True).alias("whole"))
-    wins = ws.table(_boundary_windows(seen.filter("first = doc_id and several").select("doc_id", "block"), _squeezed(docs), window), "windows")
-    across = attach_min(wins, "win", "doc_id", {"first": F.col("doc_id")}).filter("first < doc_id").select("doc_id", F.col("win").alias("h"), "first", F.lit(False).alias("whole"))
-    copies = whole.unionByName(across).groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "whole")).alias("copies"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("reference", pa.int64())])))])
+    open_blocks = seen.filter("first.doc_id = doc_id and several").select("uid", "at", "n")
+    wins = ws.table(_boundary_windows(open_blocks, texts, window), "windows")
+    across = attach_min(wins, "win", "uid", {"first": first})
+    hits = seen.select("uid", "doc_id", "at", "first").unionByName(across.select("uid", "doc_id", "at", "first")).filter("first.doc_id < doc_id")
+    pairs = hits.select("uid", F.col("first.uid").alias("ref"), F.col("first.doc_id").alias("reference"), F.struct("at", F.col("first.at").alias("there")).alias("hit"))
+    pairs = dealt(ws, pairs.groupBy("uid", "ref").agg(F.first("reference").alias("reference"), F.collect_list("hit").alias("hits")), "pairs", "uid", "ref")
+    ws.drop("seen", "windows")
+    with_ref = fetched(pairs, pairs, "ref", texts.select(F.col("uid").alias("ref"), F.col("z").alias("rz")))
+    matches = _matches(with_ref.join(texts.select("uid", "z").hint("merge"), "uid"), window)
+    listed = ws.table(matches.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", F.negative("stop").alias("stop"), "reference", "reference_start"))).alias("matches")), "matches")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "reference", "reference_start")])))])
 
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
-            for first, w in _texts(batch.column(1)):
-                low, high, _, block = blocks(w, window)
-                doc = np.searchsorted(w.first, low, "right") - 1
-                grams, raw, out = None, w.buf.tobytes(), []
-                for d in range(len(w.first) - 1):
+            for rows, w in _texts(batch.column(1)):
+                raw, out = w.buf.tobytes(), []
+                for d in range(len(rows)):
                     a, b = int(w.first[d]), int(w.first[d + 1])
-                    found = []
-                    keep = np.ones(b - a, bool)
-                    if lists[first + d].is_valid:
-                        h, ref, is_whole = (np.asarray(lists[first + d].values.field(i)) for i in range(3))
-                        x, y = np.searchsorted(doc, [d, d + 1])
-                        source = np.full(b - a, np.iinfo(np.int64).max)
-                        if is_whole.any():
-                            hw, rw = h[is_whole], ref[is_whole]
-                            order = np.argsort(hw)
-                            hw, rw = hw[order], rw[order]
-                            at = np.minimum(np.searchsorted(hw, block[x:y]), len(hw) - 1)
-                            for k in np.flatnonzero(hw[at] == block[x:y]).tolist():
-                                source[low[x + k] - a : high[x + k] - a + 1] = rw[at[k]]
-                        if not is_whole.all():
-                            if grams is None:
-                                grams = w.grams(window)[0].view(np.int64)
-                            hw, rw = h[~is_whole], ref[~is_whole]
-                            order = np.argsort(hw)
-                            hw, rw = hw[order], rw[order]
-                            own = grams[a : max(a, b - window + 1)]
-                            at = np.minimum(np.searchsorted(hw, own), len(hw) - 1)
-                            hit = np.flatnonzero(hw[at] == own)
-                            source[hit] = np.minimum(source[hit], rw[at[hit]])
-                        starts = np.flatnonzero(source < np.iinfo(np.int64).max)
-                        found = factors(starts, source[starts], window)
-                        for start, n, _ in found:
-                            keep[start : start + n] = False
+                    keep, factors = np.ones(b - a, bool), []
+                    for place, (start, stop, reference, there) in parsed([(m["start"], -m["stop"], m["reference"], m["reference_start"]) for m in lists[rows.start + d].as_py() or ()]):
+                        keep[place:stop] = False
+                        factors.append({"start": place, "length": stop - place, "reference": reference, "reference_start": there + place - start})
                     s, e = w.starts[a:b][keep].tolist(), w.ends[a:b][keep].tolist()
-                    text = b" ".join([raw[i:j] for i, j in zip(s, e, strict=True)])
-                    out.append((b - a, int((~keep).sum()), text.decode(), [dict(zip(("start", "length", "reference"), f, strict=True)) for f in found]))
-                n = len(out)
-                yield pa.record_batch([batch.column(0).slice(first, n), *[pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]], schema=schema)
+                    out.append((b - a, int((~keep).sum()), b" ".join([raw[i:j] for i, j in zip(s, e, strict=True)]).decode(), factors))
+                yield pa.record_batch([batch.column(0).slice(rows.start, len(rows)), *[pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]], schema=schema)
 
-    joined = _squeezed(docs).join(copies.hint("merge"), "doc_id", "left").select("doc_id", "z", "copies")
-    factor = "array<struct<start:long,length:long,reference:long>>"
+    joined = texts.join(listed.hint("merge"), "uid", "left").select("doc_id", "z", "matches")
+    factor = "array<struct<start:long,length:long,reference:long,reference_start:long>>"
     return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, factors {factor}")

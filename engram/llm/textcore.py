@@ -79,11 +79,14 @@ class Words:
             ok = np.arange(m) + n <= ends
         return out, ok
 
-    def range_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the words a:b for arrays of bounds."""
+    def ranges(self):
+        """A function of arrays of bounds a, b: the hash of the words a:b."""
         up, down = _WORDS.get(len(self.hashes) + 1)
         total = np.concatenate([[U(0)], np.cumsum(self.hashes * up[:-1])])
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+        return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+
+    def range_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.ranges()(a, b)
 
 
 def cut(buf: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:

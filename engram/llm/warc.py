@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import zlib
 
 import pyarrow as pa
@@ -117,7 +118,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column(0):
                 out = []
                 raw = data.as_buffer().to_pybytes()
-                for f, block in records_in(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for f, block in records_in(gzip.GzipFile(fileobj=io.BytesIO(raw)).read() if raw[:2] == b"\x1f\x8b" else raw):
                     body = bytes(block).partition(b"\r\n\r\n")[2]
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     response = kind == "response"

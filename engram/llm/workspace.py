@@ -41,6 +41,14 @@ class Workspace:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table that joins and groups by ``key`` need not shuffle again."""
+        parts, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"engram_{uuid.uuid4().hex}"
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{self.path}/{name}").saveAsTable(table)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay, and what is read of them here knows its buckets
+        return out
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.path}/{name}")
@@ -93,15 +101,26 @@ def attach(df: DataFrame, key: str, value: str, mins: dict[str, Column], how, sa
     return df.join(whole, [key, "_salt"], "left").drop("_salt")
 
 
-def fetched(rows: DataFrame, key: str, other: str, table: DataFrame, each: int | None = None) -> DataFrame:
-    """rows with the columns of the row of ``table`` that has the same ``key`` (at most one); inner join.
+def dealt(ws: Workspace, pairs: DataFrame, name: str, *keys: str, each: int | None = None) -> DataFrame:
+    """pairs, written, with a salt for each of two key columns, by which ``fetched`` brings a large row to them.
+
+    A key may stand in any share of the pairs: its pairs are dealt by the hash of the other key, about ``each`` (EACH) to a salt.
+    """
+    df = ws.table(pairs, f"{name}-bare")
+    for key, other in (keys, keys[::-1]):
+        df = attach(df, key, other, {}, F.min).withColumn(f"_of_{key}", F.ceil(F.col("group_rows") / (each or EACH)).cast("int"))
+        df = df.drop("group_rows").withColumn(f"_s_{key}", F.pmod(F.xxhash64(other), F.col(f"_of_{key}")).cast("int"))
+    return ws.table(df, f"{name}-dealt")
+
+
+def fetched(rows: DataFrame, pairs: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows (made from ``pairs``, of dealt()) with the columns of the row of ``table`` that has the same ``key``; inner join.
 
-    A key may stand in any share of the rows: its rows are dealt by a salt from ``other``, about ``each`` (EACH) to a salt, and the row
-    of the table is copied once a salt.  Keys with few rows are not copied.
+    The table's row is copied once a salt; keys with few pairs have one.
     """
-    dealt = attach(rows, key, other, {}, F.min).withColumn("_of", F.ceil(F.col("group_rows") / (each or EACH))).drop("group_rows").withColumn("_s", F.pmod(F.xxhash64(other), F.col("_of")).cast("int"))
-    needed = dealt.groupBy(key).agg(F.max("_of").alias("_of")).join(table, key).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1))).drop("_of")
-    return dealt.drop("_of").join(needed, [key, "_s"]).drop("_s")
+    needed = pairs.groupBy(key).agg(F.max(f"_of_{key}").alias("_of")).join(table, key)
+    needed = needed.withColumn(f"_s_{key}", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    return rows.join(needed, [key, f"_s_{key}"]).drop(f"_s_{key}", f"_of_{key}")
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:

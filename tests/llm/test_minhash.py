@@ -93,7 +93,9 @@ def test_hot_bucket_in_many_tasks(spark, monkeypatch):
 def test_fetched_deals_hot_keys(spark):
     pairs = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
     table = spark.range(990).select(F.col("id").alias("a"), (F.col("id") * 2).alias("v"))
-    got = workspace.fetched(pairs, "a", "b", table, 50)
+    own = workspace.dealt(workspace.Workspace(spark, "t"), pairs, "p", "a", "b", each=50)
+    assert own.groupBy("a", "_s_a").count().agg(F.max("count")).first()[0] < 120 and own.filter("a > 0 and _of_a > 1").count() == 0
+    got = workspace.fetched(own, own, "a", table)
     assert {(r.a, r.b, r.v) for r in got.collect()} == {(0 if i < 900 else i, i, 0 if i < 900 else 2 * i) for i in range(990)} and got.count() == 990
 
 

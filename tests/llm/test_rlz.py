@@ -55,10 +55,34 @@ def test_edited_and_joined_passages(spark):
         got = rlz.parse(spark, df, window).withColumn("sha", F.sha2("kept", 256)).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in got} == brute(docs, window)
         assert all(sum(f.length for f in r.factors) == r.n_removed for r in got)
-        assert all(f.reference < r.doc_id for r in got for f in r.factors)
+        words = {i: WORD.findall(t or "") for i, t in docs.items()}
+        for r in got:
+            for f in r.factors:
+                assert f.reference < r.doc_id and f.length > 0
+                assert words[r.doc_id][f.start : f.start + f.length] == words[f.reference][f.reference_start : f.reference_start + f.length]
     assert rlz.parse(spark, df.limit(0)).count() == 0
 
 
+def test_factors_are_whole(spark):
+    w = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(w[60:120])), (2, " ".join([*w[0:50], "z", "z", "z", *w[1:51]])), (3, " ".join(w[:51])), (4, " ".join(w)), (5, "\n".join(["q", *w])), (5, " ".join(w[:60])), (5, " ".join(w[:60])), (6, " ".join(w[100:]))]
+    got = rlz.parse(spark, spark.createDataFrame(docs, "doc_id long, text string").withColumn("uid", F.lit(1))).collect()
+    found = sorted((r.doc_id, r.n_words, [tuple(f) for f in r.factors]) for r in got)
+    # A block's reference is the first document that holds it.  Words 0 to 50 stand in document 2 in two parts only; document 5
+    # is one factor of document 4, although parts of it stand in earlier ones.
+    assert found == [(1, 60, []), (2, 103, []), (3, 51, [(0, 50, 2, 0), (50, 1, 2, 102)]), (4, 200, [(0, 50, 2, 0), (50, 1, 2, 102), (60, 60, 1, 0)]), (5, 60, [(0, 60, 4, 0)]), (5, 60, [(0, 60, 4, 0)]), (5, 201, [(1, 200, 4, 0)]), (6, 100, [(0, 100, 4, 100)])]
+
+
+def test_parsed_takes_what_reaches_farthest():
+    rng = random.Random(2)
+    for _ in range(300):
+        m = sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(12))))
+        out = rlz.parsed(m)
+        covered = {k for a, (_, b) in out for k in range(a, b)}
+        assert covered == {k for a, b in m for k in range(a, b)} and sum(b - a for a, (_, b) in out) == len(covered)
+        assert all(b == max(e for s, e in m if s <= a < e) for a, (_, b) in out)
+
+
 def test_sliding_minima():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 5, 60).astype(np.uint64)
