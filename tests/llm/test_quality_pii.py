@@ -114,6 +114,51 @@ def test_em_separates_reliable_labelers():
     assert abs(table[1, 0, 2] - 0.95) < 0.04 and abs(table[1, 2, 2] - 0.7) < 0.04
 
 
+def test_em_overturns_the_majority():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(20000) < 0.5
+    right = np.stack([rng.random(20000) < a for a in (0.97, 0.96, 0.52, 0.5, 0.5)], 1)
+    votes = np.where(right == truth[:, None], 1, -1)
+    patterns, weight = np.unique(votes, axis=0, return_counts=True)
+    post, _ = pii.estimate(patterns, weight.astype(float))
+    by = {tuple(p): q for p, q in zip(patterns.tolist(), post, strict=True)}
+    assert by[1, 1, -1, -1, -1] > 0.9 and by[-1, -1, 1, 1, 1] < 0.1
+
+
+def test_classifier_differs_from_em_and_from_the_format():
+    yes, no, unsure = (1, 0, 1, 0, 1), (-1, 0, -1, 0, -1), (0, 0, 0, 0, 0)
+    near, far = (1, 1, 1, 2, 1), (1, 1, 1, 2, 0)
+    counts = {pii.code_of("secret", yes, near): 5000, pii.code_of("secret", no, far): 5000}
+    counts |= {pii.code_of("secret", unsure, near): 50, pii.code_of("secret", unsure, far): 50}
+    taken = pii.accepted(counts)  # the same votes, so the same posterior: the neighbourhood decides
+    assert pii.code_of("secret", unsure, near) in taken and pii.code_of("secret", unsure, far) not in taken
+    # A candidate whose format the rules turned down is taken where the other labelers are found to be right.
+    votes = {(-1, 0, 1, 1, 1): 3000, (1, 0, 1, 1, 1): 3000, (1, 0, -1, -1, -1): 3000, (-1, 0, -1, -1, -1): 3000}
+    taken = pii.accepted({pii.code_of("phone", v, far): n for v, n in votes.items()})
+    assert pii.code_of("phone", (-1, 0, 1, 1, 1), far) in taken and pii.code_of("phone", (1, 0, -1, -1, -1), far) not in taken
+
+
+def test_codes_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        kind, vote, form = int(rng.integers(5)), tuple(rng.integers(-1, 2, 5).tolist()), tuple(int(rng.integers(w)) for w in pii.WIDTHS)
+        k, v, f = pii.decoded(np.array([pii.code_of(pii.KINDS[kind], vote, form)]))
+        assert (k[0], tuple(v[0].tolist()), tuple(f[0].tolist())) == (kind, vote, form)
+
+
+def test_many_spans_in_linear_time():
+    import time
+
+    text = "mail a@b.com and 202-555-0143 or token: Abcdefgh12345678901234; " * 20_000
+    t = time.perf_counter()
+    clean = pii.masked(text, frozenset())
+    assert clean.count("[EMAIL]") == 20_000 and time.perf_counter() - t < 60
+
+
 def test_wide_phones_and_short_secrets_are_taken(spark):
     texts = [
         "call (202) 555-0143 now", "phone: 202-555-0143", "password = Tr0ub4dor-and3 x", "ref 202-555-0143 12345 y",
