@@ -1,18 +1,22 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
-The lexicon holds known insults and what labelled training rows add: words, and stems (word beginnings), whose odds of standing
-in a toxic text are high.  A word runs through the Levenshtein automata of all terms and stems of the trie at once, made
+The lexicon is learned from labelled training rows alone: words, and stems (word beginnings of STEM letters), whose odds of
+standing in a toxic text are high.  A word runs through the Levenshtein automata of all terms and stems of the trie at once, made
 deterministic step by step as words ask for it; what a misspelled form counts is learned for each of them.  Each hit is scored with its context: quotation marks around it, verbs of
 saying near it, and words that address someone.  A logistic model on these scores is fitted on training rows.
 
+An entry's own length says how many changes a form of it may have, so short misspellings of longer terms are found too.
+
 Training rows are those whose id's CRC-32 is not divisible by FOLDS, at most about ``max_rows`` of them, chosen by hash of the id.
-No label, language, source or id is an input of a score.  Null and empty texts have no hits and get the model's floor.
+No label, language, source or id is an input of a score.  Null and empty texts have no hits and get the model's floor; without
+labelled rows nothing is known of any text, and all get the same score.  Repeated and null ids get a row each time.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.workspace import Workspace
+from engram.llm.workspace import Workspace, bounded_sample
 
 FOLDS = 5
 STEM = (3, 7)
@@ -28,16 +32,18 @@ WINDOW = 5
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!]+[^\W_]+)*|[\"“”«»„]")
 _LEET = str.maketrans("013457@$!", "oieastasi", "*'’")
 _QUOTES = frozenset('"“”«»„')
-#: Seed terms, and context cues.
-SEED_TERMS = "idiot moron stupid loser trash scum clown worthless pathetic disgusting".split()
+#: Context cues.
 SAYING = frozenset("said says say wrote writes called calls quote quoted reported according dit dijo sagte schrieb".split())
 ADDRESS = frozenset("you your you're youre u are tu vous ihr du sie usted eres".split())
 FEATURES = ("exact", "stem", "near", "quoted", "said", "addressed", "share", "some")
 
 
-def allowed(length: int) -> int:
-    """Changes that a word or stem of so many letters may have."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+MOST = 2
+
+
+def allowed(length: int, stem: bool = False) -> int:
+    """Changes that a form of a term, or a beginning like a stem, of so many letters may have."""
+    return 0 if length < 4 + stem else 1 if length < 9 else MOST
 
 
 @dataclass
@@ -51,7 +57,7 @@ class Trie:
     stems: list[str]
     trust: list[float] | None = None
     root: list = field(init=False)
-    automata: dict = field(init=False, default_factory=dict)
+    forms: Automaton | None = field(init=False, default=None)
 
     def __post_init__(self):
         self.root = [{}, -1, -1, 0]
@@ -78,8 +84,9 @@ class Trie:
                 return 1, -1
         if stem:
             return 2, -1
-        most = allowed(len(word))
-        found = self.automaton(most).find(word) if most else None
+        if self.forms is None:
+            self.forms = Automaton(self.root, MOST, allowed)
+        found = self.forms.find(word)
         if found is None:
             return 0, -1
         _, where, i = found
@@ -87,24 +94,19 @@ class Trie:
 
     def near(self, word: str, most: int) -> int | None:
         """Least distance, at most ``most``, of a term to the word, or of a stem to its beginning; swapped neighbours count as one change."""
-        found = self.automaton(most).find(word)
+        found = Automaton(self.root, most, lambda length, stem=False: most).find(word)
         return None if found is None else found[0]
 
-    def automaton(self, most: int) -> Automaton:
-        if most not in self.automata:
-            self.automata[most] = Automaton(self.root, most)
-        return self.automata[most]
-
 
 class Automaton:
     """The Levenshtein automata of all terms and stems of a trie at once, made deterministic as words ask for it.
 
     A state is a set of (trie node, changes so far, letter still owed by a swap).  Most words reach the empty state after a
-    few letters, so a look-up costs a few dictionary reads.
+    few letters, so a look-up costs a few dictionary reads.  An entry of n letters is met with ``limit(n, stem=)`` changes.
     """
 
-    def __init__(self, root: list, most: int, memory: int = 20_000):
-        self.root, self.most, self.memory = root, most, memory
+    def __init__(self, root: list, most: int, limit: Callable[..., int], memory: int = 20_000):
+        self.root, self.most, self.limit, self.memory = root, most, limit, memory
         self.reset()
 
     def reset(self) -> None:
@@ -133,8 +135,8 @@ class Automaton:
             self.states.append([(node, e, owed) for (_, owed), (node, e) in items.items()])
             self.next.append({})
             done = [(node, e) for node, e, owed in self.states[-1] if owed is None]
-            self.accepts.append(min(((e, 1, node[1]) for node, e in done if node[1] >= 0), default=None))
-            self.begins.append(min(((e, 2, node[2]) for node, e in done if node[2] >= 0 and e <= allowed(node[3])), default=None))
+            self.accepts.append(min(((e, 1, node[1]) for node, e in done if node[1] >= 0 and e <= self.limit(node[3])), default=None))
+            self.begins.append(min(((e, 2, node[2]) for node, e in done if node[2] >= 0 and e <= self.limit(node[3], stem=True)), default=None))
         return n
 
     def step(self, state: int, c: str) -> int:
@@ -231,10 +233,9 @@ def is_held_out() -> Column:
 
 
 def training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """text and toxic (boolean) of about max_rows labelled training rows."""
+    """text and toxic (boolean) of the texts of about max_rows labelled training ids."""
     own = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic")).filter(~is_held_out())
-    share = min(1.0, max_rows / max(1, own.count()))
-    picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = bounded_sample(own.distinct(), max_rows, 5, "doc_id")
     return docs.select("doc_id", "text").join(picked.hint("merge"), "doc_id").select("text", "toxic").dropDuplicates()
 
 
@@ -244,8 +245,8 @@ def without_copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.split(F.lower("text"), r"\s+")).withColumn("gram", least_gram).dropDuplicates(["gram", "toxic"]).select("text", "toxic")
 
 
-def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float = 12.0, most: int = 400) -> Trie:
-    """Seed terms, and the ``most`` best words and stems that ``odds`` times as many toxic as other rows have.
+def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float = 12.0) -> Trie:
+    """Words and stems that ``odds`` times as many toxic as other rows have; as many as the bounded training rows give.
 
     Counted by document, in each partition first; ``least`` toxic rows, and ``share`` of them, must have it.  Of stems that
     begin one another the shorter stays; a stem that is little more than one of the words goes.
@@ -278,14 +279,14 @@ def lexicon(rows: DataFrame, least: int = 5, share: float = 0.01, odds: float =
     t, n = (next((r["count"] for r in total if r.toxic == x), 0) for x in (True, False))
     found = rows.mapInArrow(run, "stem string, t long, n long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     ratio = (F.col("t") + 0.5) / (F.col("n") + 0.5) * ((n + 1) / (t + 1))
-    best = found.filter(F.col("t") >= max(least, share * t)).withColumn("odds", ratio).filter(F.col("odds") >= odds).orderBy(F.desc(F.col("t") * F.log("odds")), "stem").limit(most).collect()
+    best = found.filter(F.col("t") >= max(least, share * t)).withColumn("odds", ratio).filter(F.col("odds") >= odds).collect()
     rows_with = {r.stem: r.t for r in best}
     words = {s[:-1]: n for s, n in rows_with.items() if s.endswith("$")}
     stems: list[str] = []
-    for s in sorted((s for s in rows_with if not s.endswith("$")), key=len):
+    for s in sorted((s for s in rows_with if not s.endswith("$")), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in stems) and not any(w.startswith(s) and n >= 0.8 * rows_with[s] for w, n in words.items()):
             stems.append(s)
-    terms = sorted({*SEED_TERMS, *(w for w in words if not any(w.startswith(s) for s in stems))})
+    terms = sorted(w for w in words if not any(w.startswith(s) for s in stems))
     return Trie(terms, stems)
 
 
@@ -342,14 +343,15 @@ def _measured(rows: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text)."""
     ws = Workspace(spark, "toxicity")
-    rows = ws.table(training(docs, labels, max_rows), "training")
+    # An id that many rows share brings all their texts along; of those about max_rows are taken again.
+    rows = ws.table(bounded_sample(ws.table(training(docs, labels, max_rows), "labelled"), 2 * max_rows, 6, "text"), "training")
     trie = lexicon(rows)
     trie = Trie(trie.terms, trie.stems, trust(rows, trie))
     sample = _measured(rows, trie, ["toxic"]).collect()  # about max_rows rows of a few numbers
     if {r.toxic for r in sample} == {True, False}:
         w = fit(np.array([r.x for r in sample]), np.array([r.toxic for r in sample], float))
-    else:  # nothing to learn from: each kind of hit counts alike
-        w = np.array([2.0, 1.0, 1.0, -1.0, -1.0, 0.5, 1.0, 1.0, -3.0])
+    else:  # nothing to learn from
+        w = np.array([0.0] * len(FEATURES) + [-3.0])
     found = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trie, ["doc_id"])
     logit = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w[:-1]]), lambda a, b: a * b), F.lit(float(w[-1])), lambda a, b: a + b)
     p = 1 / (1 + F.exp(-logit))
