@@ -56,6 +56,13 @@ class _Powers:
 _BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
 
 
+def ranges(hashes: np.ndarray):
+    """A function of arrays of bounds a, b: the running (Karp-Rabin) hash of hashes[a:b], from prefix sums."""
+    up, down = _WORDS.get(len(hashes) + 1)
+    total = np.concatenate([[U(0)], np.cumsum(hashes * up[:-1])])
+    return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+
+
 @dataclass
 class Words:
     """Words of a run of documents: byte bounds, hashes, and for document d the word range first[d]:first[d + 1]."""
@@ -81,9 +88,7 @@ class Words:
 
     def ranges(self):
         """A function of arrays of bounds a, b: the hash of the words a:b."""
-        up, down = _WORDS.get(len(self.hashes) + 1)
-        total = np.concatenate([[U(0)], np.cumsum(self.hashes * up[:-1])])
-        return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+        return ranges(self.hashes)
 
     def range_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.ranges()(a, b)

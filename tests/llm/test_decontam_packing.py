@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from engram.llm import decontam, packing
+from engram.llm import decontam, packing, workspace
 from engram.llm.queries import QUERIES
 from engram.llm.tokens import default_path, encoder
 
@@ -64,6 +65,30 @@ def test_contamination_by_brute_force(spark, sf_dir):
     assert {(r.doc_id, r.item_id) for r in QUERIES["op5_decontam"](spark, sf_dir).collect()} == expected
 
 
+def test_long_monotonous_document(spark):
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "word " * 100), (8, " ".join(f"i{k}" for k in range(50)))], "item_id long, text string")
+    start = time.perf_counter()
+    got = {tuple(r) for r in decontam.contamination(spark, docs, bench).collect()}
+    assert got == {(1, 7, 100, 1, 100)} and time.perf_counter() - start < 60
+    start = time.perf_counter()
+    assert decontam.tiles([1] * 2000, [1] * 1500 + [None] + [1] * 20_000, 5) == [(0, 1501, 2000)]
+    assert sum(k for *_, k in decontam.tiles([x % 7 for x in range(1000)], [x % 7 or None for x in range(20_000)], 5)) == 857 and time.perf_counter() - start < 30
+
+
+def test_common_phrases_and_hot_seeds(spark, monkeypatch):
+    """Items of mostly common phrases, each in very many documents: seeds are dealt, and no item is lost."""
+    monkeypatch.setattr(decontam, "EACH", 3)
+    monkeypatch.setattr(workspace, "EACH", 3)
+    rng = random.Random(1)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(4)]
+    docs = {i: " ".join(rng.choice([*phrases, f"o{i} u{rng.random()}"]) for _ in range(9)) for i in range(60)}
+    items = {k: " ".join(rng.choice([*phrases, "rare words here"]) for _ in range(5)).split() for k in range(12)}
+    expected = contaminated(docs, items)
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")).collect()}
+    assert expected and got == expected
+
+
 def test_reordered_short_and_odd_items(spark):
     item = [f"t{i}" for i in range(30)]
     mixed = " ".join(["x y", *item[20:30], "z", *item[0:10], "q", *item[10:20]]).upper()
