@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -26,7 +27,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, consolidator: consolidate.Consolidator = consolidate.no_consolidator):
         self.spark, self.config, self.consolidator = spark, config or Config(), consolidator
-        self.store = Store(spark, path)
+        self.store, self._since = Store(spark, path), time.monotonic()
 
     def _tables(self, base: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         return tuple(self.store.table(t, base) for t in ("memories", "edges", "context_tags"))
@@ -48,36 +49,40 @@ class Engine:
             raise ValidationError(f"more than {MAX_BATCH} items")
         rows = [(i, x.get("content"), x.get("category"), x.get("metadata"), x.get("context") or {}) for i, x in enumerate(items)]
         df = self.spark.createDataFrame(rows, "idx int, content string, category string, metadata string, context map<string,string>")
-        return self.write_table(df)
+        return [{"index": r.idx, "id": r.id, "error": r.error_code} for r in self.write_table(df).orderBy("idx").collect()]
 
-    def write_table(self, items: DataFrame) -> list[dict]:
-        """As write_batch for a DataFrame with idx; ids follow from the commit and idx, so a lost task makes them again alike."""
+    def write_table(self, items: DataFrame) -> DataFrame:
+        """As write_batch for a DataFrame of any size: idx, id, error_code of each item.
+
+        Ids follow from the commit and idx, so a lost task makes them again alike.
+        """
         base, now = self.store.version(), F.lit(utc_now()).cast("timestamp_ntz")
         marked = mutate.validate_writes(items)
         salt = self.spark.sql("SELECT uuid()").first()[0]
-        good = marked.filter("error_code IS NULL").withColumn("_id", F.concat(F.lit("mem_"), F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col("idx").cast("string")), 224)))
-        embedded = with_embedding(good, "content", self.config.embedder)
+        named = marked.withColumn("_id", F.when(F.col("error_code").isNull(), F.concat(F.lit("mem_"), F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col("idx").cast("string")), 224))))
+        embedded = with_embedding(named.filter("error_code IS NULL"), "content", self.config.embedder)
         fresh = mutate.new_memories(embedded, now, F.col("_id"))
-        memories, _, tags = self._tables(base)
-        self.store.commit({"memories": mutate.insert_memories(memories, fresh), "context_tags": context.insert_tag(tags, mutate.new_tags(fresh, self._next_id("context_tags", base) - 1))}, base)
-        out = marked.join(good.select("idx", "_id"), "idx", "left").select("idx", "_id", "error_code").orderBy("idx").collect()
-        return [{"index": r.idx, "id": r._id, "error": r.error_code} for r in out]
+        self.store.commit({}, base, add={"memories": fresh, "context_tags": mutate.new_tags(fresh, self._next_id("context_tags", base) - 1)})
+        return named.select("idx", F.col("_id").alias("id"), "error_code")
 
     def update(self, id_: str, content: str) -> None:
         base = self.store.version()
-        memories = self.store.table("memories", base)
         new = with_embedding(self.spark.createDataFrame([(id_, content)], "id string, content string"), "content", self.config.embedder)
-        if not mutate.exists(memories, id_):
+        if not mutate.exists(self.store.table("memories", base), id_):
             raise MemoryNotFound(id_)
-        self.store.commit({"memories": mutate.update_memories(memories, new, F.lit(utc_now()).cast("timestamp_ntz"))}, base)
+        now = F.lit(utc_now()).cast("timestamp_ntz")
+        self.store.commit({}, base, change={"memories": (new, lambda part: mutate.update_memories(part, new, now))})
 
     def delete(self, id_: str) -> None:
         base = self.store.version()
-        tables = self._tables(base)
-        if not mutate.exists(tables[0], id_):
+        memories, edges, tags = self._tables(base)
+        if not mutate.exists(memories, id_):
             raise MemoryNotFound(id_)
-        rest = mutate.delete(*tables, self.spark.createDataFrame([(id_,)], "id string"))
-        self.store.commit(dict(zip(("memories", "edges", "context_tags"), rest, strict=True)), base)
+        gone = self.spark.createDataFrame([(id_,)], "id string")
+        owned = gone.withColumnRenamed("id", "memory_id")
+        change = {"memories": (gone, lambda part: part.join(F.broadcast(gone), "id", "left_anti")), "context_tags": (owned, lambda part: part.join(F.broadcast(owned), "memory_id", "left_anti").select(*tags.columns))}
+        linked = not graph.edges_of(edges, id_).isEmpty()
+        self.store.commit({"edges": mutate.delete(memories, edges, tags, gone)[1]} if linked else {}, base, change=change)
 
     def relate(self, source: str, target: str, relation: str = "related", weight: float = 1.0) -> None:
         error = self.relate_batch([{"source_id": source, "target_id": target, "relation": relation, "weight": weight}])[0]
@@ -97,7 +102,7 @@ class Engine:
         if fresh:
             first = self._next_id("edges", base)
             rows = [(first + i, *r) for i, r in enumerate(fresh)]
-            self.store.commit({"edges": edges.unionByName(self.spark.createDataFrame(rows, edges.schema))}, base)
+            self.store.commit({}, base, add={"edges": self.spark.createDataFrame(rows, edges.schema)})
         return [r.error_code for r in marked.orderBy("idx").collect()]
 
     # --- reads ---
@@ -152,7 +157,7 @@ class Engine:
 
     def health(self) -> dict:
         try:
-            return {"status": "ok", "version": self.store.version(), "dim": self.config.embedder.dim}
+            return {"status": "ok", "version": self.store.version(), "dim": self.config.embedder.dim, "uptime_seconds": int(time.monotonic() - self._since)}
         except Exception as e:  # the report is the answer
             return {"status": "error", "error": str(e), "dim": self.config.embedder.dim}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.schema import MAX_CONTENT_BYTES
+from engram.schema import MAX_CONTENT_BYTES, MemoryNotFound
 
 
 def content_error(content: Column) -> Column:
@@ -36,10 +36,20 @@ def new_memories(items: DataFrame, now: Column, make_id: Column | None = None) -
 
 
 def new_tags(inserted: DataFrame, after: int) -> DataFrame:
-    """Tag rows of inserted memories (id, context), numbered from ``after`` on."""
+    """Tag rows of inserted memories (id, context), numbered from ``after`` on.
+
+    Each partition counts its rows first (one row each reaches the driver) and then numbers them from its own offset, so
+    ``inserted`` must come in the same partitions each time, as a scan or a list does.
+    """
     flat = inserted.select(F.col("id").alias("memory_id"), F.explode(F.map_entries("context")).alias("e")).select("memory_id", "e.key", "e.value")
-    order = F.row_number().over(Window.orderBy("memory_id", "key"))
-    return flat.select((order + after).cast("bigint").alias("id"), "memory_id", "key", "value")
+    numbered = flat.withColumn("_u", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_u", 33).cast("int"))
+    at, bases = after + 1, []
+    for r in numbered.groupBy("_p").count().orderBy("_p").collect():
+        bases.append((r["_p"], at))
+        at += r["count"]
+    base = inserted.sparkSession.createDataFrame(bases, "_p int, _base bigint")
+    place = F.col("_base") + F.col("_u").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(base), "_p").select(place.alias("id"), "memory_id", "key", "value")
 
 
 def insert_memories(memories: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -59,6 +69,11 @@ def _patched(memories: DataFrame, patch: DataFrame, changed: dict[str, Column])
     return joined.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in memories.columns])
 
 
+def replaced(memories: DataFrame, rows: DataFrame) -> DataFrame:
+    """memories with ``rows`` (a batch, as small as its caller's limit) in place of those with their ids."""
+    return memories.join(F.broadcast(rows.select("id")), "id", "left_anti").unionByName(rows.select(*memories.columns))
+
+
 def set_levels(memories: DataFrame, levels: DataFrame, now: Column) -> DataFrame:
     """levels: id, new_level; unknown ids do nothing."""
     patch = levels.select("id", F.col("new_level").alias("_l"), F.lit(True).alias("_hit"))
@@ -71,9 +86,13 @@ def set_abstracts(memories: DataFrame, abstracts: DataFrame, now: Column) -> Dat
     return _patched(memories, patch, {"abstract": F.col("_a"), "updated_at": now})
 
 
-def mark_consolidated(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    """No longer pending; updated_at stays."""
-    return _patched(memories, ids.select("id", F.lit(True).alias("_hit")), {"pending_consolidation": F.lit(False)})
+def mark_consolidated(memories: DataFrame, ids: DataFrame, strict: bool = False) -> DataFrame:
+    """No longer pending; updated_at stays.  strict: MemoryNotFound if an id is unknown; else such ids do nothing."""
+    if strict:
+        unknown = ids.select("id").distinct().join(memories.select("id"), "id", "left_anti").first()
+        if unknown is not None:
+            raise MemoryNotFound(unknown.id)
+    return _patched(memories, ids.select("id").distinct().withColumn("_hit", F.lit(True)), {"pending_consolidation": F.lit(False)})
 
 
 def touch(memories: DataFrame, accesses: DataFrame) -> DataFrame:

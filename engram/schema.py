@@ -24,7 +24,9 @@ MEMORIES = _schema(
 EDGES = _schema("id bigint, source_id string, target_id string, weight double, relation string, edge_type string, created_at timestamp_ntz, updated_at timestamp_ntz")
 CONTEXT_TAGS = _schema("id bigint, memory_id string, key string, value string")
 CONSOLIDATE_LOG = _schema("id bigint, started_at timestamp_ntz, finished_at timestamp_ntz?, memories_processed bigint, edges_created bigint, errors bigint")
-TABLES = {"memories": MEMORIES, "edges": EDGES, "context_tags": CONTEXT_TAGS, "consolidate_log": CONSOLIDATE_LOG}
+TOUCHES = _schema("id string, accessed_at timestamp_ntz, n bigint")
+TABLES = {"memories": MEMORIES, "edges": EDGES, "context_tags": CONTEXT_TAGS, "consolidate_log": CONSOLIDATE_LOG, "touches": TOUCHES}
+SCHEMA_VERSION = 2
 
 # Levels, edge types and hard limits of the data model.
 LEVELS = {"full": 2, "summary": 1, "title": 0, "archived": -1}

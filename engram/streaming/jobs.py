@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,31 +14,29 @@ from engram.schema import ConsolidationError, Forgetting
 from engram.sources.store import Store
 
 ACCESS = "id string, ts timestamp_ntz"
+log = logging.getLogger(__name__)
 
 
-def fold_accesses(store: Store, accesses: DataFrame) -> None:
-    """One commit for a batch of accesses (id, ts)."""
-    base = store.version()
-    store.commit({"memories": mutate.touch(store.table("memories", base), accesses)}, base)
+def fold_accesses(store: Store, accesses: DataFrame, marks: dict[str, int] | None = None) -> None:
+    """One commit for a batch of accesses (id, ts): a small row an id, which reading memories folds in.  Unknown ids do nothing."""
+    new = accesses.filter("id is not null").groupBy("id").agg(F.max("ts").alias("accessed_at"), F.count(F.lit(1)).alias("n"))
+    store.commit({}, store.version(), add={"touches": new}, marks=marks)
 
 
 def access_stream(spark: SparkSession, store: Store, folder: str, checkpoint: str, once: bool = False, interval: str = "30 seconds", max_files: int = 100) -> StreamingQuery:
     """Folds access-log files (parquet, ACCESS) into memories as they come.
 
-    A batch that is run again after a failure is not counted twice: its number is kept beside the checkpoint.
+    The number of a batch is published in the same manifest as its accesses, so a batch that is run again after a failure, at
+    whatever point that came, is not counted twice.
     """
-    log = spark.readStream.schema(ACCESS).option("maxFilesPerTrigger", max_files).parquet(folder)
-    done = f"{checkpoint}/folded"
+    source = spark.readStream.schema(ACCESS).option("maxFilesPerTrigger", max_files).parquet(folder)
+    writer = source.writeStream.foreachBatch(lambda batch, number: fold_batch(store, checkpoint, batch, number)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
-    def fold(batch: DataFrame, number: int) -> None:
-        fs = store._fs
-        mark = store._path(f"{done}/{number}")
-        if not fs.exists(mark):
-            fold_accesses(store, batch)
-            fs.mkdirs(mark)
 
-    writer = log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+def fold_batch(store: Store, stream: str, batch: DataFrame, number: int) -> None:
+    if number > store.mark(stream):
+        fold_accesses(store, batch, {stream: number})
 
 
 def access_counts(accesses: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -76,18 +75,25 @@ def consolidate_once(store: Store, consolidator: consolidate.Consolidator, now,
     numbered = fresh.coalesce(1).withColumn("id", F.monotonically_increasing_id() + first)
     number = (store.table("consolidate_log", base).agg(F.max("id")).first()[0] or 0) + 1
     report = {"memories_processed": processed, "edges_created": counts["edge"][0], "errors": counts["abstract"][1] + counts["edge"][1]}
-    log = spark.createDataFrame([(number, now, now, *report.values())], "id bigint, started_at timestamp_ntz, finished_at timestamp_ntz, memories_processed bigint, edges_created bigint, errors bigint")
-    store.commit({"memories": done.memories, "edges": edges.unionByName(numbered.select(*edges.columns))}, base, log)
+    row = spark.createDataFrame([(number, now, now, *report.values())], "id bigint, started_at timestamp_ntz, finished_at timestamp_ntz, memories_processed bigint, edges_created bigint, errors bigint")
+    # Only buckets of the batch are written again; new links are added.
+    ids = consolidate.pending(memories, limit).select("id")
+    batch = spark.createDataFrame(done.memories.join(F.broadcast(ids), "id", "left_semi").collect(), memories.schema)
+    store.commit({}, base, row, add={"edges": numbered.select(*edges.columns)}, change={"memories": (batch, lambda part: mutate.replaced(part, batch))})
     return report
 
 
 class Scheduler:
-    """Runs jobs in turn, never two at once, each when its interval is over; stop() lets the current one end."""
+    """Runs jobs in turn, never two at once, each when its interval is over; stop() lets the current one end.
+
+    A job that fails is logged, counted in ``failures`` and run again when its interval is over.
+    """
 
     def __init__(self, jobs: list[tuple[float, float, Callable[[], object]]]):
         """jobs: (first delay, interval, job) in seconds."""
         import threading
 
+        self.failures = 0
         self.jobs, self._stop, self._thread = jobs, threading.Event(), threading.Thread(target=self._run, daemon=True)
 
     def start(self) -> Scheduler:
@@ -102,8 +108,10 @@ class Scheduler:
             k = due.index(min(due))
             try:
                 self.jobs[k][2]()
-            finally:
-                due[k] = time.monotonic() + self.jobs[k][1]
+            except Exception:  # whatever it was, the next tick may go well
+                self.failures += 1
+                log.exception("a job failed")
+            due[k] = time.monotonic() + self.jobs[k][1]
 
     def stop(self) -> None:
         self._stop.set()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from engram.functions import text, vectors
 from engram.operators import consolidate, context, embed, graph, lifecycle, mutate, retrieval, stats
 from engram.plans import search
-from engram.schema import EDGES, MEMORIES, Config, ConfigError, ConsolidationError, Embedder, EmbeddingError, Forgetting, StorageError, ValidationError
+from engram.schema import EDGES, MEMORIES, Config, ConfigError, ConsolidationError, Embedder, EmbeddingError, Forgetting, MemoryNotFound, StorageError, ValidationError
 from engram.sources.store import Store
 from engram.streaming import jobs
 
@@ -285,6 +285,102 @@ def test_store_commits(spark, tmp_path):
     assert store.table("memories").count() == 2 and store.table("memories", 1).count() == 1 and store.migrate() == 2
 
 
+def test_two_writers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    for base in range(3):
+        gate, won, lost = threading.Barrier(4), [], []
+
+        def write(k, base=base, gate=gate, won=won, lost=lost):
+            rows = memories(spark, memory(f"m{base}-{k}"))
+            gate.wait()
+            try:
+                won.append((k, store.commit({}, base, add={"memories": rows})))
+            except StorageError:
+                lost.append(k)
+
+        threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(won) == 1 and won[0][1] == base + 1 and len(lost) == 3
+    assert store.table("memories").count() == 3 and store.versions() == [1, 2, 3]
+
+
+def test_small_changes_write_few_files(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
+    store.commit({"memories": memories(spark, *[memory(f"m{i}") for i in range(100)])}, 0)
+    parts = store.manifest()["tables"]["memories"]
+    assert len(parts) == 8 and store.listing().filter("table = 'memories'").count() == 8
+    new = spark.createDataFrame([("m7", "changed", None)], "id string, content string, embedding array<float>")
+    store.commit({}, 1, change={"memories": (new, lambda part: mutate.update_memories(part, new, F.lit(T0).cast("timestamp_ntz")))})
+    after = store.manifest()["tables"]["memories"]
+    assert sum(parts[b] != after[b] for b in parts) == 1 and store.table("memories").count() == 100
+    assert store.table("memories").filter("id = 'm7'").first().content == "changed" and store.table("memories", 1).filter("id = 'm7'").first().content != "changed"
+    # Accesses rewrite no memory, and are settled with the bucket that is written next.
+    jobs.fold_accesses(store, spark.createDataFrame([("m7", T0 + timedelta(days=1)), ("m7", T0), ("m8", T0)], jobs.ACCESS))
+    assert store.manifest()["tables"]["memories"] == after
+    row = store.table("memories").filter("id = 'm7'").first()
+    assert (row.access_count, row.accessed_at) == (2, T0 + timedelta(days=1))
+    store.commit({}, 3, change={"memories": (new, lambda part: mutate.update_memories(part, new, F.lit(T0).cast("timestamp_ntz")))})
+    assert {r.id: r.access_count for r in store.table("memories").filter("access_count > 0").collect()} == {"m7": 2, "m8": 1}
+
+
+def test_stream_batch_counts_once_wherever_it_fails(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.commit({"memories": memories(spark, "a")}, 0)
+    batch = spark.createDataFrame([("a", T0)], jobs.ACCESS)
+    publish = store._publish
+
+    def broken(after):
+        def run(*args):
+            if after:
+                publish(*args)
+            raise OSError("lost")
+
+        return run
+
+    for after in (False, True):  # a stop before the manifest, and one right behind it
+        store._publish = broken(after)
+        with pytest.raises(OSError):
+            jobs.fold_batch(store, "s", batch, 0)
+    store._publish = publish
+    jobs.fold_batch(store, "s", batch, 0)
+    jobs.fold_batch(store, "s", batch, 1)
+    assert store.table("memories").first().access_count == 2 and store.mark("s") == 1 and store.mark("t") == -1
+
+
+def test_migration_of_an_old_store(spark, tmp_path):
+    memories(spark, "a", "b").write.parquet(f"file://{tmp_path}/s/tables/memories/x")
+    (tmp_path / "s" / "manifests").mkdir()
+    (tmp_path / "s" / "manifests" / "1.json").write_text('{"schema_version": 1, "tables": {"memories": "tables/memories/x"}}')
+    store = Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(StorageError):
+        store.commit({"memories": memories(spark, "a")}, 1)
+    assert store.migrate() == 2 and store.migrate() == 2 and store.table("memories").count() == 2
+    store.commit({}, 2, add={"memories": memories(spark, "c")})
+    assert store.table("memories").count() == 3
+
+
+def test_marking_unknown_ids(spark):
+    with pytest.raises(MemoryNotFound):
+        mutate.mark_consolidated(memories(spark, "a"), spark.createDataFrame([("a",), ("z",)], "id string"), strict=True)
+    assert not mutate.mark_consolidated(memories(spark, "a"), spark.createDataFrame([("a",), ("a",)], "id string"), strict=True).first().pending_consolidation
+
+
+def test_failing_job_is_run_again():
+    ran, done = [], threading.Event()
+
+    def bad():
+        ran.append(1)
+        if len(ran) >= 3:
+            done.set()
+        raise StorageError("lost")
+
+    s = jobs.Scheduler([(0.0, 0.01, bad)]).start()
+    assert done.wait(10)
+    s.stop()
+    assert s.failures >= 2
+
+
 def test_jobs_on_a_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.commit({"memories": memories(spark, memory("a", accessed=T0), memory("b", weight=0.01)), "edges": edges(spark, ("a", "b", 1.0, "auto"))}, 0)
