@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import parse_context, parse_levels, parse_time
+from engram.metrics import Metrics
 from engram.operators import consolidate, context, graph, mutate, stats
 from engram.operators.embed import with_embedding
 from engram.plans import search
 from engram.schema import MAX_BATCH, MAX_DEGREE, MAX_DEPTH, Config, MemoryNotFound, ValidationError
+from engram.sources.index import CellIndex
 from engram.sources.store import Store
 from engram.streaming import jobs
 
@@ -25,9 +27,12 @@ def utc_now() -> datetime:
 class Engine:
     """Requests as methods.  Those that change something are one commit each; those that only read return DataFrames."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, consolidator: consolidate.Consolidator = consolidate.no_consolidator):
-        self.spark, self.config, self.consolidator = spark, config or Config(), consolidator
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, consolidator: consolidate.Consolidator | None = None):
+        self.spark, self.config = spark, config or Config()
+        self.consolidator = consolidator or consolidate.chosen(self.config.consolidation)
+        self.requests = Metrics()
         self.store, self._since = Store(spark, path), time.monotonic()
+        self.index = CellIndex(self.store)
 
     def _tables(self, base: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         return tuple(self.store.table(t, base) for t in ("memories", "edges", "context_tags"))
@@ -159,10 +164,23 @@ class Engine:
         try:
             return {"status": "ok", "version": self.store.version(), "dim": self.config.embedder.dim, "uptime_seconds": int(time.monotonic() - self._since)}
         except Exception as e:  # the report is the answer
-            return {"status": "error", "error": str(e), "dim": self.config.embedder.dim}
+            return {"status": "error", "error": str(e), "dim": self.config.embedder.dim, "uptime_seconds": int(time.monotonic() - self._since)}
+
+    def metrics(self) -> str:
+        """Requests since the start, and sizes, as text exposition."""
+        s = self.status()
+        return self.requests.text({"uptime_seconds": self.health()["uptime_seconds"]} | {k: s[k] for k in ("total_memories", "total_edges", "pending_consolidation")})
+
+    def similar(self, query: search.Query, probes: int | None = None) -> DataFrame:
+        """id, score of the nearest memories by the index; approximate where it covers them."""
+        q = query.checked()
+        return self.index.nearest(q.vector, q.limit, probes)
 
     # --- jobs ---
 
+    def refresh_index(self) -> bool:
+        return self.index.refresh()
+
     def forget(self) -> tuple[int, int, int]:
         return jobs.forget_once(self.store, utc_now(), self.config.forgetting)
 
@@ -170,6 +188,6 @@ class Engine:
         return jobs.consolidate_once(self.store, self.consolidator, utc_now(), self.config.consolidation.batch_size)
 
     def scheduler(self) -> jobs.Scheduler:
-        """Both jobs in turn: consolidation first after five seconds, forgetting at once."""
+        """All jobs in turn: consolidation first after five seconds, forgetting at once, and the index behind them."""
         c, f = self.config.consolidation, self.config.forgetting
-        return jobs.Scheduler([(5.0, c.interval_seconds, self.consolidate), (0.0, f.interval_seconds, self.forget)])
+        return jobs.Scheduler([(5.0, c.interval_seconds, self.consolidate), (0.0, f.interval_seconds, self.forget), (10.0, c.interval_seconds, self.refresh_index)])

@@ -55,7 +55,28 @@ def metadata_map(metadata: Column) -> Column:
     return F.coalesce(F.from_json(metadata, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
 
 
+def metadata_json(metadata: Column) -> Column:
+    """A map of JSON texts as one JSON object; null is an empty one."""
+    members = F.transform(F.array_sort(F.map_entries(F.coalesce(metadata, F.create_map().cast("map<string,string>")))), lambda e: F.concat(F.to_json(F.array(e.key)).substr(F.lit(2), F.length(F.to_json(F.array(e.key))) - 2), F.lit(":"), F.coalesce(e.value, F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def format_time(t: Column) -> Column:
+    """A time without a zone (UTC) as RFC 3339 with microseconds."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def time_or(text: Column, fallback: Column) -> Column:
+    """RFC 3339 texts as naive UTC; the fallback where there is none or it cannot be read."""
+    zoned = text.rlike(r"(?i)^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+    naive = F.to_utc_timestamp(F.try_to_timestamp(F.upper(text)), F.current_timezone()).cast("timestamp_ntz")
+    return F.coalesce(F.when(zoned, naive), fallback)
+
+
+#: A request to summarise memories and to relate them, to be followed by their ids and contents as JSON.
+ASK = 'Summarise each memory in one sentence and name links between them. Answer with JSON only: {"memories": [{"id", "abstract"}], "edges": [{"source_id", "target_id", "relation", "weight"}]}.\n\nMemories:\n'
+
+
 def prompt(rows: Column) -> Column:
-    """A request to summarise memories (an array of (id, content)) and to relate them."""
-    ask = 'Summarise each memory in one sentence and name links between them. Answer with JSON only: {"memories": [{"id", "abstract"}], "edges": [{"source_id", "target_id", "relation", "weight"}]}.\n\nMemories:\n'
-    return F.concat(F.lit(ask), F.to_json(rows))
+    """ASK for an array of (id, content)."""
+    return F.concat(F.lit(ASK), F.to_json(rows))

@@ -46,3 +46,17 @@ def from_bytes(df: DataFrame, column: str) -> DataFrame:
 
     kinds = [f"`{f.name}` {'array<float>' if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields]
     return df.mapInArrow(run, ", ".join(kinds))
+
+
+def to_bytes(df: DataFrame, column: str) -> DataFrame:
+    """df with the column's vector as little-endian 32-bit floats: the reverse of from_bytes."""
+    names = df.columns
+    at = names.index(column)
+
+    def run(batches):
+        for batch in batches:
+            raw = [None if v is None else np.array(v, "<f4").tobytes() for v in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    kinds = [f"`{f.name}` {'binary' if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields]
+    return df.mapInArrow(run, ", ".join(kinds))

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions.text import ASK
 from engram.operators import mutate
-from engram.schema import ConsolidationError
+from engram.operators.embed import post
+from engram.schema import Consolidation, ConsolidationError
 
 #: A batch of (id, content) to {"memories": [{id, abstract}], "edges": [{source_id, target_id, relation, weight}]}.
 Consolidator = Callable[[list[tuple[str, str]]], dict]
@@ -30,11 +32,7 @@ def language_model(complete: Callable[[str], str]) -> Consolidator:
     """A consolidator that asks a language model (prompt to reply)."""
 
     def run(batch: list[tuple[str, str]]) -> dict:
-        ask = (
-            "Summarise each memory in one sentence and name links between them. Answer with JSON only: "
-            '{"memories": [{"id", "abstract"}], "edges": [{"source_id", "target_id", "relation", "weight"}]}.\n\nMemories:\n'
-        )
-        reply = complete(ask + json.dumps([{"id": i, "content": c} for i, c in batch], ensure_ascii=False))
+        reply = complete(ASK + json.dumps([{"id": i, "content": c} for i, c in batch], ensure_ascii=False))
         low, high = reply.find("{"), reply.rfind("}")
         try:
             return json.loads(reply[low : high + 1] if 0 <= low <= high else reply)
@@ -44,6 +42,24 @@ def language_model(complete: Callable[[str], str]) -> Consolidator:
     return run
 
 
+def http_model(conf: Consolidation, timeout: float = 60.0) -> Callable[[str], str]:
+    """Prompt to reply through a chat service."""
+
+    def run(prompt: str) -> str:
+        body = {"model": conf.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0}
+        try:
+            return post(f"{conf.url.rstrip('/')}/chat/completions", body, {"Authorization": f"Bearer {conf.api_key}"}, timeout)["choices"][0]["message"]["content"]
+        except (OSError, KeyError, IndexError, ValueError) as e:
+            raise ConsolidationError(f"no reply: {e}") from e
+
+    return run
+
+
+def chosen(conf: Consolidation) -> Consolidator:
+    """The consolidator that the configuration names; an unknown name is none."""
+    return language_model(http_model(conf)) if conf.type == "openai" else no_consolidator
+
+
 def answer_tables(spark: SparkSession, answer: dict) -> tuple[DataFrame, DataFrame]:
     """abstracts and links of an answer, which is as small as its batch."""
     notes = [(str(m["id"]), str(m["abstract"])) for m in answer.get("memories", [])]

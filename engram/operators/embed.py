@@ -15,6 +15,14 @@ from engram.schema import Embedder, EmbeddingError
 OPENAI_BATCH = 512
 
 
+def random_embedding(dim: int) -> Column:
+    """A unit vector that is another one each time: for load tests only, as a lost task gives other values."""
+    if dim <= 0:
+        raise EmbeddingError("dim must be positive")
+    raw = F.array(*[F.randn() for _ in range(dim)])
+    return F.get(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))), F.lit(0))
+
+
 def hash_embedding(text: Column, dim: int) -> Column:
     """Unit vector of uniform values in [-1, 1) from SHA-256 of the text's digest and the place; e0 if the norm is 0.
 
@@ -29,7 +37,7 @@ def hash_embedding(text: Column, dim: int) -> Column:
     return F.get(unit, F.lit(0))
 
 
-def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
+def post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
     with urllib.request.urlopen(request, timeout=timeout) as reply:
         return json.load(reply)
@@ -39,12 +47,12 @@ def http_encoder(conf: Embedder, timeout: float = 30.0) -> Callable[[list[str]],
     """Texts to vectors through a service; its answer must have a vector for each text."""
 
     def ollama(texts):
-        return _post(f"{conf.url.rstrip('/')}/api/embed", {"model": conf.model, "input": texts}, {}, timeout)["embeddings"]
+        return post(f"{conf.url.rstrip('/')}/api/embed", {"model": conf.model, "input": texts}, {}, timeout)["embeddings"]
 
     def openai(texts):
         out = []
         for i in range(0, len(texts), OPENAI_BATCH):
-            data = _post(f"{conf.url.rstrip('/')}/embeddings", {"model": conf.model, "input": texts[i : i + OPENAI_BATCH]}, {"Authorization": f"Bearer {conf.api_key}"}, timeout)["data"]
+            data = post(f"{conf.url.rstrip('/')}/embeddings", {"model": conf.model, "input": texts[i : i + OPENAI_BATCH]}, {"Authorization": f"Bearer {conf.api_key}"}, timeout)["data"]
             out += [x["embedding"] for x in sorted(data, key=lambda x: x["index"])]
         return out
 
@@ -74,6 +82,8 @@ def embedded(df: DataFrame, column: str, encode: Callable[[list[str]], list[list
 
 
 def with_embedding(df: DataFrame, column: str, conf: Embedder) -> DataFrame:
+    if conf.type == "random":
+        return df.withColumn("embedding", random_embedding(conf.dim).cast("array<float>"))
     if conf.type in ("hash", "noop"):
         return df.withColumn("embedding", hash_embedding(F.col(column), conf.dim).cast("array<float>"))
     return embedded(df, column, http_encoder(conf))

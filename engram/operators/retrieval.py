@@ -14,15 +14,48 @@ QUERY_BLOCK = 512
 
 
 def scored(memories: DataFrame, query: list[float]) -> DataFrame:
-    """Rows that have an embedding, with their cosine to the query as ``score``."""
+    """Rows that have an embedding, with their cosine to the query as ``score``; rows whose cosine is no number are left out."""
     size = float(sum(float(np.float32(x)) ** 2 for x in query) ** 0.5)
     own = F.col("norm") if "norm" in memories.columns else norm(F.col("embedding"))
-    return memories.filter("embedding is not null").withColumn("score", cosine(F.col("embedding"), literal(query), own, F.lit(size)))
+    rows = memories.filter("embedding is not null").withColumn("score", cosine(F.col("embedding"), literal(query), own, F.lit(size)))
+    return rows.filter(~F.isnan("score"))
+
+
+def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this length, and their unit vectors (0 where the norm is)."""
+    fits = np.flatnonzero(np.diff(np.asarray(lists.offsets)) == dim)
+    x = np.asarray(lists.take(pa.array(fits)).flatten().fill_null(0)).astype(np.float64).reshape(len(fits), dim)
+    size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return fits, np.where(size > 0, x / np.where(size > 0, size, 1), 0 * x)
+
+
+def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
+    """id, score of the k best rows of (id, embedding) by score, then id: a block product a batch, a partial top-k a task."""
+    q = np.array(query, np.float32).astype(np.float64)
+    q /= max(float(np.sqrt(q @ q)), 1e-300)
+
+    def run(batches):
+        for batch in batches:
+            ids, score = batch.column(0), np.zeros(batch.num_rows)
+            fits, x = _matrix(batch.column(1), len(q))
+            own = np.einsum("ij,j->i", x, q)  # row by row, so equal vectors get equal scores
+            score[fits] = np.where(np.isnan(own) & ~x.any(axis=1), 0, own)
+            at = np.flatnonzero(~np.isnan(score))
+            if len(at) > k > 0:  # ties at the border stay in
+                at = at[score[at] >= -np.partition(-score[at], k - 1)[k - 1]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(score[at])], names=["id", "score"])
+
+    slim = rows.filter("embedding is not null").select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return slim.mapInArrow(run, "id string, score double").orderBy(F.desc("score"), "id").limit(k)
 
 
 def top_k(memories: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k best rows by score, then id; a partial top-k in each task, never a full sort."""
-    return scored(memories, query).orderBy(F.desc("score"), "id").limit(k)
+    """The k best rows by score, then id; other columns than id and embedding are read for these rows only.
+
+    Rows whose cosine is no number (a NaN in the vector) are no hits, here and in all other searches.
+    """
+    hits = nearest(memories, query, k)
+    return memories.join(F.broadcast(hits), "id").select(*memories.columns, "score").orderBy(F.desc("score"), "id")
 
 
 def top_k_batch(spark: SparkSession, memories: DataFrame, queries: dict[str, list[float]], k: int) -> DataFrame:
@@ -41,20 +74,17 @@ def top_k_batch(spark: SparkSession, memories: DataFrame, queries: dict[str, lis
 
         def run(batches, own=own, q=q):
             for batch in batches:
-                ids, lists = batch.column(0), batch.column(1)
-                sizes = np.diff(np.asarray(lists.offsets))
-                fits = np.flatnonzero(sizes == q.shape[1])
-                score = np.zeros((len(q), len(ids)))
-                if len(fits):
-                    x = np.asarray(lists.take(pa.array(fits)).flatten().fill_null(0)).astype(np.float64).reshape(len(fits), -1)
-                    size = np.linalg.norm(x, axis=1)
-                    score[:, fits] = np.where(size > 0, (q @ x.T) / np.where(size > 0, size, 1), 0)
+                ids, score = batch.column(0), np.zeros((len(q), batch.num_rows))
+                fits, x = _matrix(batch.column(1), q.shape[1])
+                own_score = q @ x.T
+                score[:, fits] = np.where(np.isnan(own_score) & ~x.any(axis=1), 0, own_score)
+                score[np.isnan(score)] = -np.inf
                 best = min(k, len(ids))
                 if not best:
                     continue
                 # Ties at the border stay in; the window below settles them by id.
                 border = -np.partition(-score, best - 1, axis=1)[:, best - 1]
-                qi, ri = np.nonzero(score >= border[:, None])
+                qi, ri = np.nonzero((score >= border[:, None]) & (score > -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in qi], pa.string()), ids.take(pa.array(ri)), pa.array(score[qi, ri])], names=["query_id", "id", "score"])
 
         part = slim.mapInArrow(run, "query_id string, id string, score double")
@@ -66,26 +96,99 @@ def top_k_batch(spark: SparkSession, memories: DataFrame, queries: dict[str, lis
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def cell_model(memories: DataFrame, cells: int, sample_rows: int = 50_000, seed: int = 1):
-    """Centres of a clustered layout, fitted on at most about ``sample_rows`` rows."""
+def cell_model(memories: DataFrame, cells: int, sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
+    """Centres of a clustered layout on the unit sphere, fitted on at most about ``sample_rows`` rows (id, embedding)."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    rows = memories.filter("embedding is not null").select(array_to_vector("embedding").alias("features"))
+    rows = memories.filter("embedding is not null")
     share = min(1.0, sample_rows / max(1, rows.count()))
-    return KMeans(k=cells, seed=seed, maxIter=10).fit(rows.sample(fraction=share, seed=seed) if share < 1 else rows)
+    rows = rows.sample(fraction=share, seed=seed) if share < 1 else rows
+    unit = Normalizer(inputCol="v", outputCol="features").transform(rows.select(array_to_vector("embedding").alias("v")))
+    return np.stack(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters())
 
 
-def with_cells(memories: DataFrame, model) -> DataFrame:
-    """All rows with their ``cell``; write them partitioned by it, and a probe reads few folders."""
-    from pyspark.ml.functions import array_to_vector
+def with_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, embedding, cell of all rows that have an embedding: its nearest centre, -1 for other lengths."""
+
+    def run(batches):
+        for batch in batches:
+            cell = np.full(batch.num_rows, -1, np.int32)
+            fits, x = _matrix(batch.column(1), centres.shape[1])
+            cell[fits] = ((centres**2).sum(axis=1) - 2 * (np.nan_to_num(x) @ centres.T)).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], names=["id", "embedding", "cell"])
+
+    slim = rows.filter("embedding is not null").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return slim.mapInArrow(run, "id string, embedding array<float>, cell int")
+
+
+def probed(centres: np.ndarray, query: list[float], probes: int) -> list[int]:
+    """The ``probes`` cells nearest to a query."""
+    q = np.array(query, np.float64)
+    q /= max(float(np.linalg.norm(q)), 1e-300)
+    return np.argsort(((centres - q) ** 2).sum(axis=1), kind="stable")[:probes].tolist()
 
-    keyed = memories.filter("embedding is not null").withColumn("_v", array_to_vector("embedding"))
-    return model.setFeaturesCol("_v").setPredictionCol("cell").transform(keyed).drop("_v")
 
+def calibrated_probes(rows: DataFrame, centres: np.ndarray, recall: float = 0.95, k: int = 10, sample_rows: int = 4000, queries: int = 400, seed: int = 2) -> int:
+    """Probes that find this share of the k nearest, measured on at most about ``sample_rows`` rows (id, embedding).
 
-def top_k_cells(celled: DataFrame, model, query: list[float], k: int, probes: int = 8) -> DataFrame:
-    """The k best rows of the ``probes`` cells nearest to the query: approximate."""
-    centres = np.stack(model.clusterCenters())
-    near = np.argsort(((centres - np.array(query)) ** 2).sum(axis=1))[:probes].tolist()
-    return top_k(celled.filter(F.col("cell").isin(near)), query, k)
+    Among fewer rows neighbours lie farther off, so more probes are chosen than all rows need; vectors without any clusters need
+    about half of the cells.
+    """
+    known = rows.filter("embedding is not null")
+    share = min(1.0, sample_rows / max(1, known.count()))
+    known = known.sample(fraction=share, seed=seed) if share < 1 else known
+    x = np.array([v for r in known.select("embedding").collect() if len(v := r[0]) == centres.shape[1]], np.float64)
+    x = x[np.isfinite(x).all(axis=1)] if len(x) else x
+    if not len(x):
+        return len(centres)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    distance = (centres**2).sum(axis=1) - 2 * (x @ centres.T)
+    cell = distance.argmin(axis=1)
+    q = np.random.default_rng(seed).permutation(len(x))[:queries]
+    best = np.argsort(-(x[q] @ x.T), axis=1, kind="stable")[:, :k]
+    rank = distance[q].argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    needed = np.sort(rank[np.arange(len(q))[:, None], cell[best]].ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def top_k_cells(celled: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int) -> DataFrame:
+    """id, score of the k best rows of the cells nearest to the query: approximate.  Partitioned by cell, others are not read."""
+    near = probed(centres, query, probes)
+    return nearest(celled.filter(F.col("cell").isin(near)), query, k)
+
+
+def top_k_cells_batch(spark: SparkSession, celled: DataFrame, centres: np.ndarray, queries: dict[str, list[float]], k: int, probes: int) -> DataFrame:
+    """As top_k_batch, but each query meets only the rows of its nearest cells."""
+    names, out = sorted(queries), None
+    for at in range(0, len(names), QUERY_BLOCK):
+        own = names[at : at + QUERY_BLOCK]
+        q = np.array([queries[m] for m in own], np.float32).astype(np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        asks: dict[int, list[int]] = {}
+        for i, m in enumerate(own):
+            for c in probed(centres, queries[m], probes):
+                asks.setdefault(c, []).append(i)
+
+        def run(batches, own=own, q=q, asks=asks):
+            for batch in batches:
+                ids, cells = batch.column(0), np.asarray(batch.column(2))
+                fits, x = _matrix(batch.column(1), q.shape[1])
+                for c in np.unique(cells[fits]).tolist():
+                    ask, rows = asks.get(c), np.flatnonzero(cells[fits] == c)
+                    if not ask:
+                        continue
+                    score = q[ask] @ x[rows].T
+                    score[np.isnan(score)] = -np.inf
+                    best = min(k, len(rows))
+                    border = -np.partition(-score, best - 1, axis=1)[:, best - 1]
+                    qi, ri = np.nonzero((score >= border[:, None]) & (score > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array([own[ask[i]] for i in qi], pa.string()), ids.take(pa.array(fits[rows[ri]])), pa.array(score[qi, ri])], names=["query_id", "id", "score"])
+
+        part = celled.select("id", "embedding", "cell").filter(F.col("cell").isin(sorted(asks))).mapInArrow(run, "query_id string, id string, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id string, rank int, id string, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

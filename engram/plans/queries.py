@@ -145,6 +145,15 @@ def vector_topk_batch_all(s, d):
     return retrieval.top_k_batch(s, load(s, d, "memories"), asked, 5).withColumn("score", F.round("score", 6))
 
 
+@query()
+def vector_topk_cells(s, d):
+    """As vector_topk_batch_all through cells, of which each query reads the nearest: approximate, so its recall is tested instead."""
+    asked = {f"q{r.vec_id}": list(r.embedding) for r in s.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
+    rows = load(s, d, "memories").select("id", "embedding").filter("embedding is not null")
+    centres = retrieval.cell_model(rows, max(2, int(rows.count() ** 0.5)))
+    return retrieval.top_k_cells_batch(s, retrieval.with_cells(rows, centres), centres, asked, 5, retrieval.calibrated_probes(rows, centres)).withColumn("score", F.round("score", 6))
+
+
 def _page_sql(rows: str, where: str = "true", lift: str = "0.0D", threshold: str = "-2.0D", limit: int = 10, offset: int = 0, columns: str = "id, score, weight, level, category") -> str:
     """Ranking in SQL on a relation with memory columns and score."""
     return f"""

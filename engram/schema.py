@@ -74,6 +74,10 @@ class Retrieval:
 class Consolidation:
     interval_seconds: int = 60
     batch_size: int = 10
+    type: str = "none"
+    url: str = ""
+    model: str = ""
+    api_key: str = ""
 
 
 @dataclass(frozen=True)

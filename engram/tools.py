@@ -50,7 +50,8 @@ def answer(engine: Engine, request: dict) -> dict | None:
     if method != "tools/call":
         return reply | {"error": {"code": -32601, "message": f"no method {method}"}}
     try:
-        out, failed = call(engine, params["name"], params.get("arguments") or {}), False
+        with engine.requests.request("tools/call", str(params["name"])):
+            out, failed = call(engine, params["name"], params.get("arguments") or {}), False
     except KeyError as e:
         return reply | {"error": {"code": -32602, "message": f"missing or unknown: {e}"}}
     except EngineError as e:

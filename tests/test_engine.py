@@ -10,9 +10,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.functions import text, vectors
+from engram.metrics import Metrics
 from engram.operators import consolidate, context, embed, graph, lifecycle, mutate, retrieval, stats
+
 from engram.plans import search
-from engram.schema import EDGES, MEMORIES, Config, ConfigError, ConsolidationError, Embedder, EmbeddingError, Forgetting, MemoryNotFound, StorageError, ValidationError
+from engram.plans.queries import QUERIES
+from engram.schema import EDGES, MEMORIES, Config, ConfigError, Consolidation, ConsolidationError, Embedder, EmbeddingError, Forgetting, MemoryNotFound, StorageError, ValidationError
+from engram.sources.index import CellIndex
 from engram.sources.store import Store
 from engram.streaming import jobs
 
@@ -71,15 +75,60 @@ def test_batch_equals_single(spark):
 
 
 def test_cells_recall(spark):
-    d = "/root/testdata/sf0.01"
+    """Every fiftieth vector of the query, and 1,000 queries at the production number of cells and probes, against exact search."""
+    d = "/root/testdata/sf0.1"
     m = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), "embedding").cache()
-    model = retrieval.cell_model(m, 8)
-    celled = retrieval.with_cells(m, model).cache()
-    hits = 0
-    for r in m.limit(5).collect():
-        near = {x.id for x in retrieval.top_k_cells(celled, model, list(r.embedding), 10, probes=6).collect()}
-        hits += len(near & {x.id for x in retrieval.top_k(m, list(r.embedding), 10).collect()})
-    assert hits >= 45
+    rows = m.collect()
+    centres = retrieval.cell_model(m, int(len(rows) ** 0.5))
+    probes = retrieval.calibrated_probes(m, centres)
+    asked = {r.id: list(r.embedding) for r in rows[:1000]}
+    exact, near = (
+        {(r.query_id, r.id) for r in found.collect()}
+        for found in (retrieval.top_k_batch(spark, m, asked, 10), retrieval.top_k_cells_batch(spark, retrieval.with_cells(m, centres), centres, asked, 10, probes))
+    )
+    print("recall", len(exact & near) / len(exact), "probes", probes, "of", len(centres))
+    assert len(exact) == 10_000 and len(exact & near) >= 0.9 * len(exact)
+    one = retrieval.top_k_cells(retrieval.with_cells(m, centres), centres, list(rows[0].embedding), 10, probes).collect()
+    assert {r.id for r in one} == {i for q, i in near if q == rows[0].id}
+    got = {(r.query_id, r.id) for r in QUERIES["vector_topk_cells"](spark, d).collect()}
+    want = {(r.query_id, r.id) for r in QUERIES["vector_topk_batch_all"](spark, d).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_one_rule_for_odd_vectors(spark):
+    nan = float("nan")
+    m = memories(spark, memory("a", embedding=[1.0, 0.0]), memory("n", embedding=[nan, 1.0]), memory("z", embedding=[0.0, 0.0]), memory("s", embedding=[1.0]), memory("e", embedding=None), memory("b", embedding=[-1.0, 0.0]))
+    expected = [("a", 1.0), ("s", 0.0), ("z", 0.0), ("b", -1.0)]
+    assert [(r.id, r.score) for r in retrieval.top_k(m, [2.0, 0.0], 9).collect()] == expected
+    assert [(r.id, r.score) for r in retrieval.top_k_batch(spark, m, {"q": [2.0, 0.0]}, 9).orderBy("rank").collect()] == expected
+    assert [(r.id, r.score) for r in retrieval.scored(m, [2.0, 0.0]).orderBy(F.desc("score"), "id").collect()] == expected
+    assert retrieval.top_k(m, [nan, 1.0], 9).count() == retrieval.top_k_batch(spark, m, {"q": [nan, 1.0]}, 9).count() == 2  # those of no such product
+    assert [r.id for r in retrieval.top_k(m.drop("embedding").withColumn("embedding", F.lit(None).cast("array<float>")), [1.0], 3).collect()] == []
+
+
+def test_index_follows_the_store(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    store = Store(spark, f"file://{tmp_path}/s", buckets=4)
+    index = CellIndex(store, cells=8)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    store.commit({"memories": memories(spark, *[memory(f"m{i:03}", embedding=vector()) for i in range(200)])}, 0)
+    assert not index.refresh() and len(index) == 0  # too few rows for an index, exact search all the same
+    q = vector()
+    exact = lambda: [r.id for r in retrieval.top_k(store.table("memories"), q, 5).collect()]
+    assert [r.id for r in index.nearest(q, 5).collect()] == exact()
+    store.commit({}, 1, add={"memories": memories(spark, *[memory(f"n{i:03}", embedding=vector()) for i in range(100)])})
+    assert index.refresh() and not index.refresh() and len(index) == 8
+    old = index.state()
+    assert [r.id for r in index.nearest(q, 5, probes=8).collect()] == exact()
+    new = memories(spark, memory("best", embedding=q))
+    store.commit({}, 2, add={"memories": new})
+    assert [r.id for r in index.nearest(q, 1, probes=1).collect()] == ["best"]  # not indexed yet, found all the same
+    assert index.refresh() and len(index) == 9 and old["centres"] == index.state()["centres"]
+    assert all(index.state()["parts"][p] == at for p, at in old["parts"].items())
+    assert [r.id for r in index.nearest(q, 1, probes=1).collect()] == ["best"]
+    assert [r.id for r in index.nearest(q, 5, probes=8, version=2).collect()] != ["best"] and index.refresh(rebuild=True)
 
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -151,6 +200,17 @@ def test_chain_archived_middle_and_parallel_edges(spark):
     assert graph.incident(e, members).count() == 7
 
 
+def test_hub_ends_the_search(spark):
+    """A hub of a million edges: its first level fills the limit, so the paths behind it are never made."""
+    n = 1_000_000
+    e = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "hub").otherwise(F.concat(F.lit("x"), "id")).alias("source_id"), F.when(F.col("id") % 2 == 1, "hub").otherwise(F.concat(F.lit("x"), "id")).alias("target_id"), F.lit(1.0).alias("weight"), F.lit("r").alias("relation"), F.lit("auto").alias("edge_type"), stamp(T0).alias("created_at"), stamp(T0).alias("updated_at"))
+    m = spark.range(n).select(F.concat(F.lit("x"), "id").alias("id"), F.lit(2).alias("level"))
+    for seed in ("hub", "x5"):
+        got = graph.expand(spark, m, e, [seed], 5, 100).collect()
+        assert len(got) == 100 and {r.d for r in got} == ({1} if seed == "hub" else {2})
+    assert sorted(r.id for r in got)[:2] == ["x0", "x1"] and "x5" not in {r.id for r in got}
+
+
 # --- retention -----------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +321,43 @@ def test_embedders(spark):
         embed.http_encoder(Embedder(type="nope"))
 
 
+def test_encoders(spark):
+    df = spark.createDataFrame([(1, [1.0, -2.5]), (2, None), (3, [])], "id int, v array<float>")
+    raw = vectors.to_bytes(df, "v")
+    assert [r.v for r in raw.orderBy("id").collect()] == [bytearray(b"\x00\x00\x80?\x00\x00 \xc0"), None, bytearray()]
+    assert [r.v for r in vectors.from_bytes(raw, "v").orderBy("id").collect()] == [[1.0, -2.5], None, []]
+    rows = spark.createDataFrame([('{"a":1,"b":"x\\"y","c":[1,{"d":null}]}',), ("nonsense",), (None,)], "m string")
+    again = rows.select(text.metadata_map(F.col("m")).alias("m")).select(text.metadata_json(F.col("m")).alias("m")).collect()
+    assert again[1].m == again[2].m == "{}"
+    times = spark.createDataFrame([("2024-01-01T02:00:00+02:00",), ("2024-01-01T00:00:00.25Z",), ("2024-01-01",), ("x",), (None,)], "t string")
+    got = times.select(text.time_or(F.col("t"), stamp(T0 - timedelta(days=1))).alias("t")).collect()
+    assert [r.t for r in got] == [T0, T0 + timedelta(milliseconds=250), *[T0 - timedelta(days=1)] * 3]
+    assert spark.range(1).select(text.format_time(stamp(T0)).alias("t")).first().t == "2024-01-01T00:00:00.000000+00:00"
+    assert text.parse_time("2024-01-01T00:00:00.000000+00:00") == T0
+
+
+def test_metrics():
+    m = Metrics()
+    with m.request("search", "fast"):
+        pass
+    with pytest.raises(ValidationError), m.request("search", 'a"b'):
+        raise ValidationError("x")
+    m.record("search", "fast", "OK", 0.02)
+    said = m.text({"total_memories": 3}).splitlines()
+    assert 'engram_requests_total{method="search",path="fast",status="OK"} 2' in said and "engram_total_memories 3" in said
+    assert 'engram_requests_total{method="search",path="a\\"b",status="BAD_REQUEST"} 1' in said
+    assert 'engram_request_seconds_bucket{method="search",path="fast",status="OK",le="0.025"} 2' in said
+    assert 'engram_request_seconds_bucket{method="search",path="fast",status="OK",le="0.01"} 1' in said
+
+
+def test_plugins_by_configuration(spark):
+    assert consolidate.chosen(Consolidation()) is consolidate.no_consolidator and consolidate.chosen(Consolidation(type="unheard")) is consolidate.no_consolidator
+    with pytest.raises(ConsolidationError):
+        consolidate.chosen(Consolidation(type="openai", url="http://127.0.0.1:9"))([("a", "b")])
+    row = embed.with_embedding(spark.range(1).select(F.lit("x").alias("t")), "t", Embedder(type="random", dim=4)).first()
+    assert abs(sum(x * x for x in row.embedding) - 1) < 1e-6
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.json"
     f.write_text('{"retrieval": {"score_threshold": 0.5}}')
