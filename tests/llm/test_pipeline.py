@@ -40,6 +40,15 @@ def test_stages_one_by_one(spark, sf_dir):
     check_packing(texts(private), pipeline.pack(spark, private, sf_dir).collect())
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(4, text, "a", "s", 1), (4, text, "a", "s", 1), (4, text + " end", "a", "s", 1), (7, text, "a", "s", 1), (None, text, "a", "s", 1), (9, "alone here", None, None, None), (9, "alone here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_dedup(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, text), (9, "alone here"), (None, text)], key=str)
+
+
 def test_run(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert rows and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())

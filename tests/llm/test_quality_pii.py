@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import sys
 
@@ -59,6 +60,27 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def test_rules_of_several_conditions(spark):
+    """Labels that take several conjunctions: covering finds them one after the other, and the list is applied in order."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(6000):
+        f = {k: rng.random() for k in quality_rules.FEATURES}
+        bad = (f["symbols"] > 0.7 and f["digits"] > 0.6) or (f["upper"] > 0.8 and f["bangs"] <= 0.5) or f["distinct"] <= 0.1
+        rows.append((tuple(f[k] for k in quality_rules.FEATURES), bad, i % 3 == 0))
+    schema = "f struct<" + ", ".join(f"{k}: double" for k in quality_rules.FEATURES) + ">, bad boolean, prune boolean"
+    df = spark.createDataFrame(rows, schema).cache()
+    rules = quality_rules.learn(df)
+    assert len(rules) >= 3 and max(len(r) for r in rules) >= 2
+    holds = lambda r, f: all((f[quality_rules.FEATURES.index(c.feature)] > c.threshold) == c.above for c in r)
+    got = df.withColumn("rule", quality_rules.decision(rules)).collect()
+    assert all(r.rule == next((i for i, rule in enumerate(rules) if holds(rule, r.f)), None) for r in got)
+    caught = sum(r.rule is not None for r in got if r.bad) / sum(r.bad for r in got)
+    wrong = sum(r.rule is not None for r in got if not r.bad) / sum(not r.bad for r in got)
+    print("rules", [[str(c) for c in r] for r in rules], caught, wrong)
+    assert caught >= 0.85 and wrong <= 0.03
+
+
 def base(text):
     out = []
     digits = lambda s: re.sub("[^0-9]", "", s)
