@@ -20,9 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents linked at five-word shingles and a similarity of 0.8."""
-    dropped = near_duplicates(spark, docs, shingle_words=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the smallest id of each group of documents linked at five-word shingles and a similarity of 0.8.
+
+    Of rows that share that id one stays: the first by text.  Null ids stay.
+    """
+    ws = Workspace(spark, "near-dedup")
+    found = ws.table(near_duplicates(spark, docs, shingle_words=5, percent=80).select("doc_id", "kept"), "found")
+    kept = docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    twice = ws.table(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
+    ones = first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(ones)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,8 +43,20 @@ TABLES = {"memories": MEMORIES, "context_tags": CONTEXT_TAGS, "edges": EDGES, "c
 _SOURCES = ("documents", "labels", "embeddings", "events", "lineitem")
 
 
+_WRITTEN: dict[str, str] = {}
+
+
+def materialise(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the engine tables of sf_dir below a folder, from which load() reads them from then on."""
+    for name in TABLES:
+        load(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    _WRITTEN[sf_dir] = folder
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An engine table over the parquet files of sf_dir."""
+    if sf_dir in _WRITTEN:
+        return spark.read.parquet(f"{_WRITTEN[sf_dir]}/{name}")
     query = TABLES[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES if re.search(rf"\b{t}\b", query)}
     sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", query).replace('{"lang":"', '{{"lang":"').replace("'}'", "'}}'")
