@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
 SAMPLE_BITS = 62
 #: Rows of a key that one task meets when a large row is fetched for them.
 EACH = 1 << 14
@@ -31,11 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def owned():
+    """Ends all workspaces that are made inside, as it ends: what was made of them must be written by then."""
+    made: list[Workspace] = []
+    outer = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(outer)
+        for ws in made:
+            ws.end()
+
+
 class Workspace:
     """Tables of one run of an operator, each cut off from its lineage by a write that outlives any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if (made := _MADE.get()) is not None:
+            made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
