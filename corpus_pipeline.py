@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import decontam, packing, pii, quality_rules
 from engram.llm.minhash import near_duplicates
-from engram.llm.workspace import Workspace
+from engram.llm.workspace import Workspace, owned
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, each but the last written and read again as the next one's input."""
+    """The stages on documents, each but the last written and read again as the next one's input.
+
+    What a stage wrote for itself is removed once its result is written; the last stage's tables go with the folder.
+    """
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = ws.table(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with owned():
+            docs = ws.table(stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

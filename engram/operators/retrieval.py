@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engram.functions.vectors import cosine, literal, norm
 from engram.schema import ValidationError
 
-QUERY_BLOCK = 512
+QUERY_BLOCK, PASS_BYTES = 512, 64 << 20
 
 
 def scored(memories: DataFrame, query: list[float]) -> DataFrame:
@@ -58,44 +58,71 @@ def top_k(memories: DataFrame, query: list[float], k: int) -> DataFrame:
     return memories.join(F.broadcast(hits), "id").select(*memories.columns, "score").orderBy(F.desc("score"), "id")
 
 
-def top_k_batch(spark: SparkSession, memories: DataFrame, queries: dict[str, list[float]], k: int) -> DataFrame:
-    """query_id, rank, id, score for a stated set of queries, held in blocks of QUERY_BLOCK against all rows.
+def _in_passes(spark: SparkSession, queries: dict[str, list[float]], k: int, rows: DataFrame, scores) -> DataFrame:
+    """query_id, rank, id, score: the k best rows of each query, all rows against QUERY_BLOCK queries at a time.
 
-    Each task keeps the k best of each of its batches, so at most k rows a query and batch are shuffled.
+    scores(batch, queries) gives triples (places of queries, places of rows, scores); a task keeps the k best of each of its
+    batches, so at most k rows a query and batch are shuffled.  One pass over the rows serves PASS_BYTES of queries.
     """
     if len({len(v) for v in queries.values()}) > 1:
         raise ValidationError("queries differ in length")
     names, out = sorted(queries), None
-    slim = memories.filter("embedding is not null").select("id", F.col("embedding").cast("array<float>").alias("embedding"))
-    for at in range(0, len(names), QUERY_BLOCK):
-        own = names[at : at + QUERY_BLOCK]
-        q = np.array([queries[n] for n in own], np.float32).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    if not names:
+        return spark.createDataFrame([], "query_id string, rank int, id string, score double")
+    each = max(QUERY_BLOCK, PASS_BYTES // (4 * max(1, len(queries[names[0]]))))
+    for at in range(0, len(names), each):
+        held = spark.sparkContext.broadcast((names[at : at + each], np.array([queries[n] for n in names[at : at + each]], np.float32)))
 
-        def run(batches, own=own, q=q):
+        def run(batches, held=held):
+            own, vectors = held.value
+            blocks = [(low, _unit(vectors[low : low + QUERY_BLOCK])) for low in range(0, len(own), QUERY_BLOCK)]
             for batch in batches:
-                ids, score = batch.column(0), np.zeros((len(q), batch.num_rows))
-                fits, x = _matrix(batch.column(1), q.shape[1])
-                own_score = q @ x.T
-                score[:, fits] = np.where(np.isnan(own_score) & ~x.any(axis=1), 0, own_score)
-                score[np.isnan(score)] = -np.inf
-                best = min(k, len(ids))
-                if not best:
-                    continue
-                # Ties at the border stay in; the window below settles them by id.
-                border = -np.partition(-score, best - 1, axis=1)[:, best - 1]
-                qi, ri = np.nonzero((score >= border[:, None]) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in qi], pa.string()), ids.take(pa.array(ri)), pa.array(score[qi, ri])], names=["query_id", "id", "score"])
-
-        part = slim.mapInArrow(run, "query_id string, id string, score double")
+                for low, q in blocks:
+                    for qi, ri, score in scores(batch, low, q):
+                        yield pa.RecordBatch.from_arrays([pa.array([own[low + i] for i in qi], pa.string()), batch.column(0).take(pa.array(ri)), pa.array(score)], names=["query_id", "id", "score"])
+
+        part = rows.mapInArrow(run, "query_id string, id string, score double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id string, rank int, id string, score double")
     # Rank-limit windows are cut before the shuffle too (WindowGroupLimit).
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
+def _unit(q: np.ndarray) -> np.ndarray:
+    q = q.astype(np.float64)
+    return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best numbers of each row; ties at the border stay in, for the window to settle by id."""
+    score = np.where(np.isnan(score), -np.inf, score)
+    best = min(k, score.shape[1])
+    if best <= 0:
+        return np.zeros(0, int), np.zeros(0, int)
+    border = -np.partition(-score, best - 1, axis=1)[:, best - 1]
+    return np.nonzero((score >= border[:, None]) & (score > -np.inf))
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of unit queries and unit vectors; 0 for vectors without a length."""
+    score = q @ x.T
+    return np.where(np.isnan(score) & ~x.any(axis=1), 0, score)
+
+
+def top_k_batch(spark: SparkSession, memories: DataFrame, queries: dict[str, list[float]], k: int) -> DataFrame:
+    """query_id, rank, id, score for a stated set of queries against all rows."""
+
+    def scores(batch, low, q):
+        score = np.zeros((len(q), batch.num_rows))
+        fits, x = _matrix(batch.column(1), q.shape[1])
+        score[:, fits] = _products(q, x)
+        qi, ri = _best(score, k)
+        yield qi, ri, score[qi, ri]
+
+    slim = memories.filter("embedding is not null").select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return _in_passes(spark, queries, k, slim, scores)
+
+
 def cell_model(memories: DataFrame, cells: int, sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
     """Centres of a clustered layout on the unit sphere, fitted on at most about ``sample_rows`` rows (id, embedding)."""
     from pyspark.ml.clustering import KMeans
@@ -161,34 +188,19 @@ def top_k_cells(celled: DataFrame, centres: np.ndarray, query: list[float], k: i
 
 def top_k_cells_batch(spark: SparkSession, celled: DataFrame, centres: np.ndarray, queries: dict[str, list[float]], k: int, probes: int) -> DataFrame:
     """As top_k_batch, but each query meets only the rows of its nearest cells."""
-    names, out = sorted(queries), None
-    for at in range(0, len(names), QUERY_BLOCK):
-        own = names[at : at + QUERY_BLOCK]
-        q = np.array([queries[m] for m in own], np.float32).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        asks: dict[int, list[int]] = {}
-        for i, m in enumerate(own):
-            for c in probed(centres, queries[m], probes):
-                asks.setdefault(c, []).append(i)
-
-        def run(batches, own=own, q=q, asks=asks):
-            for batch in batches:
-                ids, cells = batch.column(0), np.asarray(batch.column(2))
-                fits, x = _matrix(batch.column(1), q.shape[1])
-                for c in np.unique(cells[fits]).tolist():
-                    ask, rows = asks.get(c), np.flatnonzero(cells[fits] == c)
-                    if not ask:
-                        continue
-                    score = q[ask] @ x[rows].T
-                    score[np.isnan(score)] = -np.inf
-                    best = min(k, len(rows))
-                    border = -np.partition(-score, best - 1, axis=1)[:, best - 1]
-                    qi, ri = np.nonzero((score >= border[:, None]) & (score > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array([own[ask[i]] for i in qi], pa.string()), ids.take(pa.array(fits[rows[ri]])), pa.array(score[qi, ri])], names=["query_id", "id", "score"])
-
-        part = celled.select("id", "embedding", "cell").filter(F.col("cell").isin(sorted(asks))).mapInArrow(run, "query_id string, id string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id string, rank int, id string, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    names = sorted(queries)
+    near = [probed(centres, queries[n], probes) for n in names]
+    held = spark.sparkContext.broadcast({c: np.array([i for i, own in enumerate(near) if c in own]) for c in {c for own in near for c in own}})
+
+    def scores(batch, low, q):
+        cells = np.asarray(batch.column(2))
+        fits, x = _matrix(batch.column(1), q.shape[1])
+        for c in np.unique(cells[fits]).tolist():
+            asks, rows = held.value.get(c, np.zeros(0, int)) - low, np.flatnonzero(cells[fits] == c)
+            asks = asks[(asks >= 0) & (asks < len(q))]
+            if len(asks):
+                score = _products(q[asks], x[rows])
+                qi, ri = _best(score, k)
+                yield asks[qi], fits[rows[ri]], score[qi, ri]
+
+    return _in_passes(spark, queries, k, celled.select("id", "embedding", "cell").filter(F.col("cell").isin(sorted(held.value))), scores)
