@@ -37,7 +37,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,}+)")
 #: A long run of letters and digits that no keyword announces.
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+_-]*[0-9])(?=[0-9+_-]*[A-Za-z])[A-Za-z0-9+_-]{20,}+")
 #: Ten digits whose area and exchange can exist.
 _PLACED = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 _DIGIT = re.compile(r"[0-9]")
@@ -117,7 +117,8 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
         form = 1 if strict else -1 if s[0] == "+" else 1 if placed else 0
         return form, 0, (0 if placed else -1) if code is None else 1 if code else -1, cue, 1 if 9 <= len(digits) <= 15 and re.search(r"[ ().-]", s) else -1
     distinct = len(set(s))
-    known = s.startswith(KEY_STARTS) or (left and left[-1] in CUES[kind])
+    starts = s.startswith(KEY_STARTS)  # such a beginning announces itself, as a word before it would
+    known, cue = starts or (left and left[-1] in CUES[kind]), 1 if starts else cue
     return 1 if re.fullmatch(r"[0-9a-f]{16,}|[A-Za-z0-9+/_=-]{20,}", s) else 0, 0, 1 if known else -1, cue, 1 if digits and distinct >= 8 else -1
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,53 @@ def test_classifier_differs_from_em_and_from_the_format():
     assert pii.code_of("phone", (-1, 0, 1, 1, 1), far) in taken and pii.code_of("phone", (1, 0, -1, -1, -1), far) not in taken
 
 
+def planted(seed, n):
+    """Texts with their true spans (kind, start, end), among them decoys that look like some kind."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdeilmnorstu", k=rng.randrange(2, 9)))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    token = lambda k: "".join(rng.choices("ABCDEFGHJKLMNPQRSTabcdefghjkmnpqrst0123456789", k=k))
+
+    def card(ok):
+        body = "4" + digits(14)
+        check = next(d for d in "0123456789" if pii.luhn(body + d) == ok)
+        return " ".join((body + check)[i : i + 4] for i in range(0, 16, 4))
+
+    makers = {
+        "email": lambda: ("", f"{word()}.{word()}@{word()}.com"), "ip": lambda: ("", ".".join(str(rng.randrange(1, 256)) for _ in range(4))), "card": lambda: (rng.choice(["", "card "]), card(True)),
+        "phone": lambda: rng.choice([("", f"+1 202 555 {digits(4)}"), ("call ", f"({rng.randrange(201, 990)}) 555-{digits(4)}"), ("", f"{rng.randrange(201, 990)}-555-{digits(4)}")]),
+        "secret": lambda: rng.choice([("api_key = ", token(32)), ("password: ", token(14) + "9aB"), ("", "ghp_" + token(30)), ("token=", token(40).lower())]),
+    }
+    decoys = [lambda: card(False), lambda: f"{rng.randrange(300, 999)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"part {digits(8)}", lambda: f"+{digits(5)} items", lambda: f"the password is {word()}", lambda: "x" * 24, lambda: f"commit {token(40).lower()}", lambda: f"item {token(24)}", lambda: f"section {digits(2)}.{digits(2)}.{digits(2)}"]
+    out = []
+    for _ in range(n):
+        text, spans = word(), []
+        for _ in range(rng.randrange(4)):
+            if rng.random() < 0.6:
+                kind = rng.choice(list(makers))
+                before, value = makers[kind]()
+                text += f" {word()} {before}"
+                spans.append((kind, len(text), len(text) + len(value)))
+                text += value
+            else:
+                text += f" {word()} {rng.choice(decoys)()}"
+            text += f" {word()}"
+        out.append((text, spans))
+    return out
+
+
+def test_spans_by_precision_and_recall():
+    texts = planted(5, 4000)
+    found = [pii.scan(t)["cands"] for t, _ in texts]
+    taken = set(pii.accepted(Counter(c["code"] for cands in found for c in cands)))
+    got = {(i, pii.KINDS[c["kind"]], c["start"], c["end"]) for i, cands in enumerate(found) for c in cands if c["base"] or c["code"] in taken}
+    true = {(i, *s) for i, (_, spans) in enumerate(texts) for s in spans}
+    for kind in pii.KINDS:
+        a, b = {x for x in got if x[1] == kind}, {x for x in true if x[1] == kind}
+        print("spans", kind, "precision", round(len(a & b) / max(1, len(a)), 3), "recall", round(len(a & b) / len(b), 3), len(b))
+    assert len(got & true) >= 0.97 * len(true) and len(got & true) >= 0.95 * len(got)
+
+
 def test_codes_round_trip():
     import numpy as np
 
