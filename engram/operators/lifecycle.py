@@ -36,19 +36,23 @@ class Tick:
     edges: DataFrame
     tags: DataFrame
     summary: DataFrame
+    levels: DataFrame
+    gone: DataFrame
 
 
 def tick(memories: DataFrame, edges: DataFrame, tags: DataFrame, now: Column, conf: Forgetting, batch: int | None = None) -> Tick:
     """One forgetting tick: decide on a batch, apply, purge with cascade.
 
-    If nothing is left to decide on, nothing is purged either.  summary: archived, downgraded, cleaned.
+    If nothing is left to decide on, nothing is purged either.  summary: archived, downgraded, cleaned.  levels (id, new_level)
+    and gone (id) say what changes.
     """
     batch = conf.batch_size if batch is None else batch
     decided = decisions(candidates(memories, batch), now, conf)
-    changed = mutate.set_levels(memories, decided.filter("action <> 'keep'").select("id", "new_level"), now)
+    levels = decided.filter("action <> 'keep'").select("id", "new_level")
+    changed = mutate.set_levels(memories, levels, now)
     any_alive = memories.filter("level >= 0").agg((F.count(F.lit(1)) > 0).alias("alive"))
     gone = expired(changed, now, conf.archive_days).join(F.broadcast(any_alive.filter("alive")), how="cross").select("id")
     rest = mutate.delete(changed, edges, tags, gone)
     counts = decided.agg(F.count_if(F.col("action") == "archive").alias("archived"), F.count_if(F.col("action") == "downgrade").alias("downgraded"))
     summary = counts.join(F.broadcast(gone.agg(F.count(F.lit(1)).alias("cleaned"))), how="cross")
-    return Tick(*rest, summary)
+    return Tick(*rest, summary, levels, gone)

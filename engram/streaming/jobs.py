@@ -51,8 +51,16 @@ def forget_once(store: Store, now, conf: Forgetting) -> tuple[int, int, int]:
     tables = [store.table(t, base) for t in ("memories", "edges", "context_tags")]
     done = lifecycle.tick(*tables, F.lit(now).cast("timestamp_ntz"), conf)
     counts = tuple(done.summary.first())
-    if any(counts):
-        store.commit({"memories": done.memories, "edges": done.edges, "context_tags": done.tags}, base)
+    if not any(counts):
+        return counts
+    # Only buckets of what changes are written again: a batch of levels, and what is purged.
+    stamp = F.lit(now).cast("timestamp_ntz")
+    levels = store.spark.createDataFrame(done.levels.collect(), "id string, new_level int")
+    owned = done.gone.withColumnRenamed("id", "memory_id")
+    change = {"memories": (levels.select("id").union(done.gone), lambda part: mutate.set_levels(part, levels, stamp).join(done.gone, "id", "left_anti"))}
+    if counts[2]:
+        change["context_tags"] = (owned, lambda part: part.join(owned, "memory_id", "left_anti").select(*part.columns))
+    store.commit({"edges": done.edges} if counts[2] else {}, base, change=change)
     return counts
 
 

@@ -496,6 +496,19 @@ def test_jobs_on_a_store(spark, tmp_path):
     assert jobs.consolidate_once(store, lambda b: (_ for _ in ()).throw(ConsolidationError("x")), T0) is None
 
 
+def test_forgetting_writes_its_buckets_only(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
+    rows = [memory(f"m{i}", accessed=T0) for i in range(60)] + [memory("weak", weight=0.01), memory("old", level=-1, updated=T0 - timedelta(days=90))]
+    store.commit({"memories": memories(spark, *rows), "edges": edges(spark, ("old", "m1", 1.0, "auto"), ("m1", "m2", 1.0, "auto")), "context_tags": tags(spark, ("old", "k", "v"), ("m1", "k", "v"))}, 0)
+    before = store.manifest()["tables"]["memories"]
+    assert jobs.forget_once(store, T0 + timedelta(seconds=1), Forgetting()) == (1, 0, 1)
+    after = store.manifest()["tables"]["memories"]
+    assert 1 <= sum(before[b] != after.get(b) for b in before) <= 2
+    got = {r.id: r.level for r in store.table("memories").collect()}
+    assert len(got) == 61 and got["weak"] == -1 and "old" not in got
+    assert [r.source_id for r in store.table("edges").collect()] == ["m1"] and [r.memory_id for r in store.table("context_tags").collect()] == ["m1"]
+
+
 def test_windowed_access_counts(spark, tmp_path):
     spark.createDataFrame([("a", T0), ("a", T0 + timedelta(minutes=5)), ("a", T0 + timedelta(hours=2))], jobs.ACCESS).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(jobs.ACCESS).parquet(f"{tmp_path}/in")
