@@ -119,7 +119,7 @@ _SCORED = f"""scored AS (
 
 @query(f"WITH {_SCORED} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 10")
 def vector_topk(s, d):
-    return retrieval.top_k(load(s, d, "memories"), vector(s, d), 10).select("id", F.round("score", 6).alias("score"))
+    return retrieval.nearest(load(s, d, "memories"), vector(s, d), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
