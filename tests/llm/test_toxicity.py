@@ -4,6 +4,7 @@ import zlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from engram.llm import toxicity
 from engram.llm.queries import QUERIES
@@ -61,6 +62,9 @@ def test_odd_tables(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in train], "doc_id long, quality int, toxic int")
     got = toxicity.score(spark, spark.createDataFrame(train, "doc_id long, text string"), labels).collect()
     assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) >= 0.98 * len(got)
+    twice = labels.unionByName(labels).withColumn("text", F.lit("x")).withColumn("x", F.lit(1)).unionByName(spark.createDataFrame([(None, 1, 1, "x", 1)], "doc_id long, quality int, toxic int, text string, x int"))
+    again = toxicity.score(spark, spark.createDataFrame(train, "doc_id long, text string").withColumn("toxic", F.lit(1)).withColumn("x", F.lit(0)), twice).collect()
+    assert sorted((r.doc_id, r.predicted) for r in again) == sorted((r.doc_id, r.predicted) for r in got)
 
 
 def plain_features(trie, text):
