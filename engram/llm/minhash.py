@@ -233,19 +233,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
     sets = ws.table(_sets(met.select("uid", "text"), shingle_words), "sets")
     named = attach_min(classed.filter("n_shingles > 0"), "doc_id", "uid", {"one": F.col("rep")}).filter("one <> rep").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct()
     links = ws.table(_confirmed(ws, tried, sets, percent, "first").unionByName(named), "links")
+    ws.release()
     found = components(ws, links, "components-0")
     # Once with the best partners only, which joins most of what belongs together; then with all that are still apart.
+    mixed = None
     for turn, best in ((1, True), (2, False)):
-        labelled = buckets.select("key", "uid").join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        mixed = attach_min(labelled, "key", "uid", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
-        mixed = ws.table(mixed, f"mixed-{turn}")
+        if mixed is None:
+            ws.release()
+            labelled = buckets.select("key", "uid").join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+            mixed = attach_min(labelled, "key", "uid", {"low": F.col("component"), "high": -F.col("component")}).filter("low <> -high").drop("high")
+            mixed = ws.table(mixed, f"mixed-{turn}")
+        if mixed.isEmpty():
+            break
         sketch = sets.select("uid", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("least"))
         rows = mixed.join(slim, "uid").join(sketch, "uid")
         rest = ws.table(_crossing(rows, percent, best).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        if rest.isEmpty():
+            continue
         more = ws.table(_confirmed(ws, rest, sets, percent, f"more-{turn}"), f"links-{turn}")
+        tried = tried.unionByName(rest)
+        if more.isEmpty():
+            continue
         ws.drop(f"mixed-{turn}")
-        tried, links = tried.unionByName(rest), links.unionByName(more)
-        found = components(ws, links, f"components-{turn}")
+        mixed = None
+        ws.release()
+        found = components(ws, found.toDF("a", "b").unionByName(more), f"components-{turn}")
+    ws.release()
 
     joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
     named = attach_min(joined, "component", "uid", {"least": F.col("doc_id")}).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

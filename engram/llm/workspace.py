@@ -71,6 +71,14 @@ class Workspace:
         for name in names:
             self._delete(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Has the driver collect what finished jobs left; between the parts of an operator of many jobs.
+
+        Their plans and metrics otherwise fill the driver's heap up to its limit, however little of it is in use, and the shuffle
+        files and broadcasts that Spark's cleaner ties to them stay on the executors.
+        """
+        self.spark.sparkContext._jvm.System.gc()
+
     def end(self) -> None:
         """Removes all tables; for when nothing lazy reads them any more."""
         self._delete(self.path)
@@ -147,10 +155,13 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     Alternates large-star and small-star steps, each written to the shared folder, until no edge changes; a hub's edges are
     dealt by salt, and its neighbours are never collected.
     """
-    spark = ws.spark
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     now = ws.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
-    i, last = 0, None
-    while True:
+    i, last = 0, state(now)
+    changed = last[0] > 0
+    while changed:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = attach(both, "u", "v", {"m": F.col("v")}, F.min)
         large = low.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
@@ -158,9 +169,7 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         small = low2.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         i += 1
         after = ws.table(small, f"{name}-{i}")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         ws.drop(f"{name}-{i - 1}")
-        now = after
-        if state == last:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last = state
+        before, now, last = last, after, state(after)
+        changed = last != before
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,51 @@ def test_fetched_deals_hot_keys(spark):
     assert {(r.a, r.b, r.v) for r in got.collect()} == {(0 if i < 900 else i, i, 0 if i < 900 else 2 * i) for i in range(990)} and got.count() == 990
 
 
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_no_jobs_for_rows_that_cannot_meet(spark):
+    """The driver's memory goes with the number of jobs: groups that the pivots join whole take no turns and no second components."""
+    rng = random.Random(5)
+    docs = {}
+    for g in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        docs |= {10 * g: " ".join(base), 10 * g + 1: " ".join([*base[:99], "end"])}
+    got, jobs = jobs_of(spark, "whole", lambda: rows(near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"))))
+    assert got == brute(docs, 5, 80) and jobs < 120
+    edges = spark.createDataFrame([], "a long, b long")
+    got, jobs = jobs_of(spark, "no edges", lambda: workspace.components(workspace.Workspace(spark, "t"), edges, "c").count())
+    assert got == 0 and jobs < 8
+
+
+def test_components_in_few_and_many_steps(spark):
+    for edges in ([(1, 2), (1, 3)], [(i, i + 1) for i in range(40)] + [(50, 60), (60, 70)], [(3, 3)]):
+        parent = {x: {x} for e in edges for x in e}
+        for a, b in edges:
+            both = parent[a] | parent[b]
+            parent |= dict.fromkeys(both, both)
+        got = workspace.components(workspace.Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "c").collect()
+        assert {r.id: r.component for r in got} == {x: min(own) for x, own in parent.items() if x > min(own)}
+
+
+def test_release_lets_go_of_garbage(spark):
+    ref = spark.sparkContext._jvm.java.lang.ref.WeakReference(spark.sparkContext._jvm.java.lang.Object())
+    gc.collect()
+    for _ in range(20):  # the gateway's own hold on the object ends a moment later
+        workspace.Workspace(spark, "t").release()
+        if ref.get() is None:
+            return
+        gc.collect()
+        time.sleep(0.2)
+    raise AssertionError("still held")
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert rows(QUERIES["op8_minhash"](spark, sf_dir)) == brute(docs, 3, 85)
